@@ -1 +1,4 @@
+"""All registered queries."""
 
+from . import ctes, steps  # noqa: F401
+from . import ingest  # noqa: F401

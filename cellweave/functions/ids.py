@@ -8,15 +8,22 @@ from pyspark.sql import Column, functions as F
 INTEGRAL_DECIMAL = r"^([+-]?\d+)\.0+$"
 SQUARE_BARCODE = r"^s_\d+um_(\d+)_(\d+)(-\d+)?$"
 TRUE_WORDS = ("1", "true", "t", "yes", "y")
-MISSING_WORDS = ("", "nan", "inf", "-inf", "none", "<na>")
 
 
 def normalize_cell_id(value: Column) -> Column:
-    """Trimmed text id; ``12.0`` becomes ``12``; blank, NaN and infinite become null."""
+    """Text id: trimmed, ``12.0`` becomes ``12``, blank becomes null."""
     text = F.trim(value.cast("string"))
     integral = F.regexp_extract(text, INTEGRAL_DECIMAL, 1)
-    return (F.when(text.isNull() | F.lower(text).isin(*MISSING_WORDS, "infinity", "-infinity"), F.lit(None))
-            .when(integral != "", integral).otherwise(text))
+    return F.when(text == "", F.lit(None)).when(integral != "", integral).otherwise(text)
+
+
+def normalize_numeric_id(value: Column) -> Column:
+    """Numeric id: integral values as integers, NaN and infinite become null."""
+    v = value.cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    return (F.when(~finite, F.lit(None))
+            .when(v == F.floor(v), v.cast("decimal(38,0)").cast("string"))
+            .otherwise(v.cast("string")))
 
 
 def coerce_bool(value: Column) -> Column:

@@ -46,7 +46,7 @@ def barcode_col(barcode: Column, x_um: Column | None = None, pitch_um: float = 2
 
 
 def slug(value: Column, default: str) -> Column:
-    text = F.trim(F.lit("_"), F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "_"))
+    text = F.trim(F.regexp_replace(value, r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default)).otherwise(text)
 
 

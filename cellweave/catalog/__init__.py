@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from . import ctes, steps  # noqa: F401
-from . import ingest, joins  # noqa: F401
+from . import expression, ingest, joins, scoring  # noqa: F401

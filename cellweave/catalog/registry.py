@@ -59,11 +59,15 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = sql
         return fn
     return add
 
 
+def oracles() -> dict[str, str]:
+    return {name: compose(sql) for name, sql in ORACLES.items()}
+
+
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     fn = QUERIES[name]
     return lambda spark, sf_dir: fn(workspace(spark, sf_dir))

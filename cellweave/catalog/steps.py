@@ -139,3 +139,62 @@ def _bin_ll(ws: Workspace):
     k = len(types_of(ws))
     ll = ex.bin_likelihoods(ws["expression"], ws["theta"], k)
     return ex.complete_bins(ws["tissue_positions"].select("barcode"), ll, k, CONFIDENCE_PSEUDOCOUNT)
+
+
+from ..operators import patches as pt, scoring as sc  # noqa: E402
+
+WEIGHTS = sc.Weights()
+PATCH = dict(size=64.0, stride=32.0, core=48.0, min_core=1, min_cells=1, max_cells=64)
+
+
+@step("context", stored=True)
+def _context(ws: Workspace):
+    return sc.build_context(ws["candidates"], ws["bin_metadata"], ws["bin_ll"], WEIGHTS)
+
+
+@step("state", stored=True)
+def _state(ws: Workspace):
+    """Initial state: every cell holds its seeds."""
+    marked = sc.with_support(ws["context"], ws["context"].filter("is_seed"), ["cell_id"])
+    return sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], len(types_of(ws))), ["cell_id"])
+
+
+@step("scored", stored=True)
+def _scored(ws: Workspace):
+    return sc.add_scores(ws["state"], ["cell_id"], WEIGHTS, "is_frontier")
+
+
+@step("ll_features")
+def _ll_features(ws: Workspace):
+    return sc.likelihood_features(ws["context"], ["cell_id"])
+
+
+def patches_of(ws: Workspace):
+    if not hasattr(ws, "patch_pair"):
+        ws.patch_pair = pt.build_patches(ws["nuclei"], **PATCH)
+    return ws.patch_pair
+
+
+@step("patches", stored=True)
+def _patches(ws: Workspace):
+    return patches_of(ws)[0]
+
+
+@step("patch_members", stored=True)
+def _patch_members(ws: Workspace):
+    return patches_of(ws)[1]
+
+
+@step("patch_state")
+def _patch_state(ws: Workspace):
+    box = ws["patches"].select("patch_id", "outer_x_min", "outer_x_max", "outer_y_min", "outer_y_max")
+    placed = ws["patch_members"].select("patch_id", "cell_id", "role").join(box, "patch_id").join(ws["state"], "cell_id")
+    owners = placed.filter("is_assigned").select("patch_id", "barcode")
+    inside = F.col("x_um").between(F.col("outer_x_min"), F.col("outer_x_max")) & F.col("y_um").between(F.col("outer_y_min"), F.col("outer_y_max"))
+    legal = sc.mark_legal(placed, owners, ["patch_id"], inside)
+    return legal.drop("outer_x_min", "outer_x_max", "outer_y_min", "outer_y_max")
+
+
+@step("patch_scored", stored=True)
+def _patch_scored(ws: Workspace):
+    return sc.add_scores(ws["patch_state"], ["patch_id", "cell_id"], WEIGHTS, "is_legal")

@@ -12,5 +12,5 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     ``df``; nothing is joined.
     """
     names = one_row.columns
-    packed = one_row.select(F.struct(*names).alias("_s"))
-    return df.withColumn("_s", packed.scalar()).select(*df.columns, *[F.col(f"_s.{n}").alias(n) for n in names])
+    packed = one_row.select(F.struct(*names).alias("_scalars"))
+    return df.withColumn("_scalars", packed.scalar()).select(*df.columns, *[F.col(f"_scalars.{n}").alias(n) for n in names])

@@ -1,3 +1,10 @@
 """Spatial bin-to-cell assignment analytics expressed as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with the task, so workers need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from . import ctes, steps  # noqa: F401
-from . import evaluation, expression, ingest, joins, scoring  # noqa: F401
+from . import evaluation, expression, ingest, joins, scoring, shape  # noqa: F401

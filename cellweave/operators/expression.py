@@ -252,3 +252,49 @@ def spearman_inputs(pred: DataFrame, truth: DataFrame, pairs: DataFrame, genes:
         F.sqrt(F.col("_sq") / n).alias("gene_rmse"), F.col("pred_total").alias("pred_gene_total_counts"),
         F.col("gt_total").alias("gt_gene_total_counts"), "pred_genes_detected", "gt_genes_detected",
         F.lit(n_genes).alias("gene_common_count"))
+
+
+def pca_scores(values: DataFrame, genes: DataFrame, n_components: int) -> tuple[DataFrame, list[float]]:
+    """Centred principal component scores over a fixed gene list (signs are arbitrary).
+
+    Bins become dense vectors of the selected genes only, whose number is the caller's
+    top-gene limit. The covariance is accumulated per partition.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    names = [x.gene for x in genes.select("gene").orderBy("gene").limit(MAX_TYPES + 1).collect()]
+    if len(names) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} genes for the components")
+    packed = values.join(genes.select("gene"), "gene", "left_semi").groupBy("barcode").agg(
+        F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("m"))
+    dense = packed.select("barcode", array_to_vector(F.array(*[F.coalesce(F.col("m")[F.lit(g)], F.lit(0.0)) for g in names])).alias("raw"))
+    centred = StandardScaler(inputCol="raw", outputCol="c", withMean=True, withStd=False).fit(dense).transform(dense)
+    model = PCA(k=min(n_components, len(names)), inputCol="c", outputCol="s").fit(centred)
+    return model.transform(centred).select("barcode", vector_to_array("s").alias("pc")), [float(v) for v in model.explainedVariance]
+
+
+def transcriptomic_scores(context: DataFrame, expression: DataFrame, members: DataFrame, target_sum: float, weight: float, pitch_um: float,
+                          eps: float = 1.0e-8) -> DataFrame:
+    """Distance score of every candidate bin to its cell's seed profile, min-max scaled per patch.
+
+    With all components kept, the component distance equals the distance of the normalised
+    profiles: |a|^2 + |b|^2 - 2ab, each from sparse rows. The spatial part is the distance
+    to the closest seed; a cell's seeds fit one disc and travel as a small array.
+    """
+    bins = normalize_log1p(expression, target_sum)
+    profile = mean_rollup(context.select("cell_id", "barcode", "is_seed"), expression, "is_seed").withColumnRenamed("mean_count", "cnt")
+    cells = normalize_log1p(profile, target_sum, key="cell_id")
+    sq = lambda df, key, out: df.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias(out))
+    cross = context.select("cell_id", "barcode").join(bins, "barcode").join(
+        cells.select("cell_id", "gene", F.col("value").alias("_v")), ["cell_id", "gene"]).groupBy("cell_id", "barcode").agg(F.sum(F.col("value") * F.col("_v")).alias("_ab"))
+    seeds = context.filter("is_seed").groupBy("cell_id").agg(F.collect_list(F.struct("x_um", "y_um")).alias("_seeds"))
+    near = F.array_min(F.transform("_seeds", lambda s: F.sqrt((F.col("x_um") - s["x_um"]) * (F.col("x_um") - s["x_um"]) + (F.col("y_um") - s["y_um"]) * (F.col("y_um") - s["y_um"]))))
+    base = context.select("cell_id", "barcode", "x_um", "y_um", "dist_um").join(seeds, "cell_id", "left").select(
+        "cell_id", "barcode", (F.coalesce(near, F.col("dist_um")) / pitch_um).alias("_space"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    dist = base.join(sq(bins, "barcode", "_a"), "barcode", "left").join(sq(cells, "cell_id", "_b"), "cell_id", "left").join(cross, ["cell_id", "barcode"], "left").select(
+        "cell_id", "barcode", "_space", F.log(F.greatest(zero("_a") + zero("_b") - 2.0 * zero("_ab"), F.lit(eps))).alias("_t"))
+    placed = members.select("patch_id", "cell_id").join(dist, "cell_id")
+    span = placed.groupBy("patch_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    scaled = (F.col("_t") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(eps))
+    return placed.join(span, "patch_id").select("patch_id", "cell_id", "barcode", (-(scaled + weight * F.col("_space"))).alias("score"))

@@ -26,6 +26,14 @@ def _(ws):
     return ws["step_log"].select("episode_id", "step_index", "action", "cell_id", "barcode", "applied", *rs("reward", "value_est"), "done")
 
 
+# rewards have four decimals, so short sums can lie exactly on a rounding boundary; the offset moves them off it
+OFF = 3.1415926e-8
+
+
+def off(*names: str):
+    return [r(F.col(n) + OFF).alias(n) for n in names]
+
+
 _BACK = """
 with recursive b as (select s.episode_id, s.step_index, {first} as g from lg s where s.step_index = s.n
  union all select s.episode_id, s.step_index, {nxt} as g from b join lg s on s.episode_id = b.episode_id and s.step_index = b.step_index - 1)
@@ -33,17 +41,17 @@ select episode_id, step_index, {out} from b {join}"""
 cte("lg", "select episode_id, step_index, reward, value_est, done, count(*) over (partition by episode_id) as n, lead(value_est) over (partition by episode_id order by step_index) as nv from step_log")
 
 
-@query("w7_discounted_return", _BACK.format(first="s.reward", nxt="s.reward + 0.99e0*b.g", out=R("g") + " as discounted_return", join=""))
+@query("w7_discounted_return", _BACK.format(first="s.reward", nxt="s.reward + 0.99e0*b.g", out=R(f"g + {OFF}") + " as discounted_return", join=""))
 def _(ws):
-    return lg.discounted_returns(ws["step_log"], 0.99).select("episode_id", "step_index", *rs("discounted_return"))
+    return lg.discounted_returns(ws["step_log"], 0.99).select("episode_id", "step_index", *off("discounted_return"))
 
 
 _DELTA = "s.reward + 0.99e0*coalesce(s.nv, 0.0e0)*(case when s.done then 0.0e0 else 1.0e0 end) - s.value_est"
 
 
-@query("w8_advantages", _BACK.format(first=_DELTA, nxt=f"{_DELTA} + 0.99e0*0.95e0*(case when s.done then 0.0e0 else 1.0e0 end)*b.g", out=f"{R('g')} as advantage, {R('g + value_est')} as return_est", join="join lg using (episode_id, step_index)"))
+@query("w8_advantages", _BACK.format(first=_DELTA, nxt=f"{_DELTA} + 0.99e0*0.95e0*(case when s.done then 0.0e0 else 1.0e0 end)*b.g", out=f"{R(f'g + {OFF}')} as advantage, {R(f'g + value_est + {OFF}')} as return_est", join="join lg using (episode_id, step_index)"))
 def _(ws):
-    return lg.advantages(ws["step_log"], 0.99, 0.95).select("episode_id", "step_index", *rs("advantage", "return_est"))
+    return lg.advantages(ws["step_log"], 0.99, 0.95).select("episode_id", "step_index", *off("advantage", "return_est"))
 
 
 cte("ep", "select episode_id, sum(reward) as total_reward, row_number() over (order by episode_id) - 1 as idx from step_log group by 1")

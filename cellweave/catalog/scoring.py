@@ -333,7 +333,7 @@ used as (select patch_id, cell_id, barcode from psco where is_legal union select
 ent as (select s.patch_id, s.cell_id, s.barcode, s.is_legal, s.add_score, s.base_penalty, s.gain_raw, avg(gain_raw) over (partition by s.patch_id) as m, stddev_pop(gain_raw) over (partition by s.patch_id) as sd from psco s join used using (patch_id, cell_id, barcode)),
 rated as (select *, 0.45e0*(case when sd <= 1.0e-8 then 0.0e0 else (gain_raw - m)/(sd + 1.0e-8) end) - base_penalty as score from ent),
 best as (select l.patch_id, l.cell_id, l.barcode, max(r.score) as o from lp l join rated r on r.patch_id = l.patch_id and r.cell_id = l.other_id and r.barcode = l.barcode group by 1, 2, 3),
-fin as (select r.patch_id, r.cell_id, r.barcode, r.add_score, coalesce(least(greatest(r.score - b.o, -5.0e0), 5.0e0), 0.0e0) as margin from rated r left join best b using (patch_id, cell_id, barcode) where r.is_legal)
+fin as (select r.patch_id, r.cell_id, r.barcode, r.add_score, case when b.o is null then 0.0e0 else least(greatest(r.score - b.o, -5.0e0), 5.0e0) end as margin from rated r left join best b using (patch_id, cell_id, barcode) where r.is_legal)
 select patch_id, cell_id, barcode, {R('margin', Z)} as margin, {R('add_score + 0.25e0*margin', Z)} as adjusted_score, {R('least(greatest(margin/5.0e0, -1.0e0), 1.0e0)', Z)} as margin_feature from fin"""
 
 

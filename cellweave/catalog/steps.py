@@ -18,10 +18,11 @@ CONFIDENCE_PSEUDOCOUNT = 5.0
 GENE_EXPRESSION = "Gene Expression"
 
 
+# derived inputs that several steps read are written once, as the source files they stand for
 for _name, _inputs in (("tissue_positions", ("part",)), ("expression", ("lineitem",)),
                        ("sc_expression", ("orders", "lineitem")), ("sc_metadata", ("customer",)),
                        ("gt_cell_bins", ("pixels",)), ("pred_assignments", ("pixels",))):
-    step(_name)(lambda ws, n=_name, i=_inputs: fixtures.fixture(ws.spark, n, {k: ws[k] for k in i}))
+    step(_name, stored=_name in ("expression", "sc_expression"))(lambda ws, n=_name, i=_inputs: fixtures.fixture(ws.spark, n, {k: ws[k] for k in i}))
 
 
 @step("pixels", stored=True)
@@ -39,12 +40,12 @@ def _footprints(ws: Workspace):
     return grid.bin_footprints(ws["tissue_positions"])
 
 
-@step("crop_bins")
+@step("crop_bins", stored=True)
 def _crop_bins(ws: Workspace):
     return grid.crop_bins(ws["footprints"])
 
 
-@step("crop_rectangle")
+@step("crop_rectangle", stored=True)
 def _crop_rectangle(ws: Workspace):
     return grid.crop_rectangle(ws["crop_bins"])
 
@@ -156,7 +157,8 @@ def _context(ws: Workspace):
 def _state(ws: Workspace):
     """Initial state: every cell holds its seeds."""
     marked = sc.with_support(ws["context"], ws["context"].filter("is_seed"), ["cell_id"])
-    return sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], len(types_of(ws))), ["cell_id"])
+    k = len(types_of(ws))
+    return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], k), ["cell_id"]), k)
 
 
 @step("scored", stored=True)
@@ -188,7 +190,10 @@ def _patch_members(ws: Workspace):
 @step("patch_state")
 def _patch_state(ws: Workspace):
     box = ws["patches"].select("patch_id", "outer_x_min", "outer_x_max", "outer_y_min", "outer_y_max")
-    placed = ws["patch_members"].select("patch_id", "cell_id", "role").join(box, "patch_id").join(ws["state"], "cell_id")
+    # likelihood arrays stay behind: scores only need the raw terms
+    state = ws["state"].select("cell_id", "barcode", "matrix_col_index", "x_um", "y_um", "dist_um", "is_seed", "is_assigned", "is_frontier",
+                               "support", "base_penalty", "gain_raw", "compat_raw", "bin_total")
+    placed = ws["patch_members"].select("patch_id", "cell_id", "role").join(box, "patch_id").join(state, "cell_id")
     owners = placed.filter("is_assigned").select("patch_id", "barcode")
     inside = F.col("x_um").between(F.col("outer_x_min"), F.col("outer_x_max")) & F.col("y_um").between(F.col("outer_y_min"), F.col("outer_y_max"))
     legal = sc.mark_legal(placed, owners, ["patch_id"], inside)

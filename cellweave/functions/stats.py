@@ -30,7 +30,8 @@ def zscore_small_group(value: Column, mean: Column, std: Column, size: Column, d
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Bounded value; null stays null (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def add_vectors(a: Column, b: Column) -> Column:
@@ -45,6 +46,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+MAX_UNROLLED = 32
+
+
+def unrolled_max_softmax(scores: list[Column]) -> Column:
+    """Largest softmax probability of known terms, as one flat (compiled) expression."""
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    total = F.exp(scores[0] - top)
+    for s in scores[1:]:
+        total = total + F.exp(s - top)
+    return F.lit(1.0) / total
+
+
+def unrolled_dot(a: list[Column], b: list[Column]) -> Column:
+    total = F.lit(0.0)
+    for x, y in zip(a, b):
+        total = total + x * y
+    return total
+
+
 def vector_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 

@@ -60,12 +60,12 @@ def backward_sum(log: DataFrame, keys: Sequence[str], index: str, value: str, fa
     offset = F.col(index) - 1 - F.col("_b") * block
     power = F.pow(F.lit(float(factor)), offset)
     local = rows.withColumns({"_pw": power, "_w": F.col(value) * power}).withColumn("_local", F.sum("_w").over(back) / F.col("_pw"))
-    local = local.drop("_w", "_pw")
+    local = write_stage(local.drop("_w", "_pw"), "local")
     ends = local.groupBy(*part).agg(
         F.max(index).alias("_end"), F.max("_seg").alias("_last_seg"), F.bool_or("_d").alias("_any"), F.max_by("_d", index).alias("_closed"),
         F.min_by("_local", index).alias("A"), F.count("*").alias("_n"))
     chain = ends.select(*keys, F.col("_b").alias("pos"), "A", F.when(F.col("_any"), F.lit(0.0)).otherwise(F.pow(F.lit(float(factor)), F.col("_n"))).alias("M"))
-    after = _values_after(chain, keys, block).withColumnRenamed("pos", "_b")
+    after = _values_after(write_stage(chain, "chain"), keys, block).withColumnRenamed("pos", "_b")
     joined = local.join(ends.select(*part, "_end", "_last_seg", "_closed"), part).join(after, part)
     carried = F.when((F.col("_seg") == F.col("_last_seg")) & ~F.col("_closed"),
                      F.pow(F.lit(float(factor)), F.col("_end") - F.col(index) + 1) * F.col("after")).otherwise(F.lit(0.0))

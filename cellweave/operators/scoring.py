@@ -132,22 +132,36 @@ def mark_legal(state: DataFrame, owners: DataFrame, scope: Sequence[str] = (), b
     return state.join(owned, [*scope, "barcode"], "left").withColumn("is_legal", ok).drop("_owned")
 
 
-def posterior_gain() -> Column:
-    """conf * (max posterior after adding the bin - max posterior now)."""
-    after = st.softmax_max(st.add_vectors(F.col("ll_sum"), F.col("ll")))
+def posterior_gain(n_types: int | None = None) -> Column:
+    """conf * (max posterior after adding the bin - max posterior now).
+
+    With a known, small number of types the arrays are indexed term by term, which Spark
+    compiles; otherwise array functions are used.
+    """
+    if n_types is not None and n_types <= st.MAX_UNROLLED:
+        after = st.unrolled_max_softmax([F.col("ll_sum")[i] + F.col("ll")[i] for i in range(n_types)])
+    else:
+        after = st.softmax_max(st.add_vectors(F.col("ll_sum"), F.col("ll")))
     return F.col("expr_conf") * (after - F.array_max("posterior"))
 
 
-def compatibility() -> Column:
+def compatibility(n_types: int | None = None) -> Column:
+    if n_types is not None and n_types <= st.MAX_UNROLLED:
+        return F.col("expr_conf") * st.unrolled_dot([F.col("ll")[i] for i in range(n_types)], [F.col("posterior")[i] for i in range(n_types)])
     return F.col("expr_conf") * st.dot(F.col("ll"), F.col("posterior"))
 
 
+def with_raw_terms(state: DataFrame, n_types: int | None = None) -> DataFrame:
+    """The two expression terms per (cell, bin). They do not depend on the patch, so they are computed once."""
+    return state.withColumns({"gain_raw": posterior_gain(n_types), "compat_raw": compatibility(n_types)})
+
+
 def add_scores(state: DataFrame, keys: Sequence[str], w: Weights, mask: str, shape: str | None = None) -> DataFrame:
-    """Raw terms, their frontier z-scores and the ADD score of every candidate bin.
+    """Frontier z-scores of the raw terms and the ADD score of every candidate bin.
 
     The z statistics come from ``mask`` rows only and apply to all rows of the cell.
     """
-    raw = state.withColumns({"gain_raw": posterior_gain(), "compat_raw": compatibility()})
+    raw = state
     if not w.normalize:
         termed = raw.withColumns({"gain_term": F.col("gain_raw"), "compat_term": F.col("compat_raw")})
     else:

@@ -16,38 +16,52 @@ from ..functions.scalars import attach_scalars
 from ..session import write_stage
 
 MAX_BUCKET_ROWS = 100_000
+MAX_BROADCAST_BUCKETS = 100_000
 
 
 def _bucketed(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
     return points.withColumns({"_bx": F.floor(F.col(x) / size).cast("long"), "_by": F.floor(F.col(y) / size).cast("long")})
 
 
-def _slices(points: DataFrame, max_rows: int) -> DataFrame:
-    """Slice counts of overfull buckets only; usually empty."""
-    return (points.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
-            .select("_bx", "_by", F.ceil(F.col("_n") / max_rows).cast("int").alias("_slices")))
+def _overfull(points: DataFrame, max_rows: int) -> DataFrame | None:
+    """Slice counts of buckets with more than ``max_rows`` points, or None if there are none.
+
+    Only overfull buckets leave the aggregate. Up to a fixed number of them they are
+    broadcast as a checked list; beyond it they stay a distributed table.
+    """
+    hot = (points.groupBy("_bx", "_by").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_rows)
+           .select("_bx", "_by", F.ceil(F.col("_n") / max_rows).cast("int").alias("_slices")))
+    rows = hot.limit(MAX_BROADCAST_BUCKETS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MAX_BROADCAST_BUCKETS:
+        return hot
+    return F.broadcast(points.sparkSession.createDataFrame(rows, hot.schema))
 
 
 def bucket_join(searching: DataFrame, points: DataFrame, at: tuple[str, str], xy: tuple[str, str], radius: float,
-                how: str = "inner", max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
-    """Pairs of (searching row, point) whose buckets touch, with ``dist_um`` up to ``radius``.
+                max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+    """Pairs of (searching row, point) with ``dist_um`` up to ``radius``.
 
-    Column names of both sides must differ. Any radius works: buckets have its size.
+    Column names of both sides must differ. Points of an overfull bucket are spread over
+    slices, and the searching rows of that bucket are copied to each slice, so no single
+    join key holds more than ``max_bucket_rows`` points.
     """
     size = max(float(radius), 1.0e-9)
     pts = _bucketed(points, *xy, size)
-    hot = _slices(pts, max_bucket_rows)
-    pts = pts.join(hot, ["_bx", "_by"], "left").withColumn(
-        "_slice", F.when(F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*points.columns), F.col("_slices"))).otherwise(F.lit(0)).cast("int"))
     around = F.explode(F.expr("transform(sequence(0, 8), i -> struct(i div 3 - 1 as dx, i % 3 - 1 as dy))"))
     probe = _bucketed(searching, *at, size).withColumn("_o", around).select(
         *searching.columns, (F.col("_bx") + F.col("_o.dx")).alias("_bx"), (F.col("_by") + F.col("_o.dy")).alias("_by"))
-    probe = probe.join(hot, ["_bx", "_by"], "left").withColumn(
-        "_slice", F.explode(F.expr("sequence(0, coalesce(_slices, 1) - 1)")))
+    keys = ["_bx", "_by"]
+    hot = _overfull(pts, max_bucket_rows)
+    if hot is not None:
+        own = F.when(F.col("_slices").isNotNull(), F.pmod(F.xxhash64(*points.columns), F.col("_slices"))).otherwise(F.lit(0))
+        pts = pts.join(hot, keys, "left").withColumn("_slice", own.cast("int")).drop("_slices")
+        probe = probe.join(hot, keys, "left").withColumn("_slice", F.explode(F.expr("sequence(0, coalesce(_slices, 1) - 1)"))).drop("_slices")
+        keys = [*keys, "_slice"]
     dx, dy = F.col(at[0]) - F.col(xy[0]), F.col(at[1]) - F.col(xy[1])
-    dist = F.sqrt(dx * dx + dy * dy)
-    joined = probe.drop("_slices").join(pts.drop("_slices"), ["_bx", "_by", "_slice"])
-    return joined.withColumn("dist_um", dist).filter(F.col("dist_um") <= radius).drop("_bx", "_by", "_slice")
+    joined = probe.join(pts, keys).withColumn("dist_um", F.sqrt(dx * dx + dy * dy))
+    return joined.filter(F.col("dist_um") <= radius).drop(*keys)
 
 
 def candidate_bins(nuclei: DataFrame, bins: DataFrame, max_distance_um: float, band_um: float | None = None) -> DataFrame:

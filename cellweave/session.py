@@ -20,6 +20,7 @@ def build_session(cores: int | str = "*", app_name: str = "cellweave", **conf: s
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
     }
     settings.update(conf)

@@ -190,12 +190,48 @@ def _(ws):
     return ex.transcriptomic_scores(ws["context"], ws["expression"], ws["patch_members"], 10000.0, 0.1, 2.0).select("patch_id", "cell_id", "barcode", *rs("score", digits=5))
 
 
-@query("a33_pca_scores")
+cte("top_genes", """
+select gene from (select gene, greatest(q/n - (s/n)*(s/n), 0.0e0) as v from (select gene, sum(cast(cnt as double)) as s, sum(cast(cnt as double)*cnt) as q from expression group by 1) a, (select count(*) as n from tissue_positions) b) z order by v desc, gene limit 20""")
+
+
+@query("a33_pca_scores", f"""
+with v as (select * from nl where gene in (select gene from top_genes)), n as (select count(distinct barcode) as n from v)
+select any_value(n) as n_rows, {R('sum(q - n*(s/n)*(s/n))', 3)} as total_energy from (select gene, sum(v) as s, sum(v*v) as q from v group by 1) a, n""")
 def _(ws):
+    # signs and order are arbitrary; with every component kept the total energy is the centred sum of squares
     values = ex.normalize_log1p(ws["expression"], 10000.0)
     top = ex.top_variance_genes(ws["expression"], ws["tissue_positions"].agg(F.count("*").alias("n")), 20)
-    scores, explained = ex.pca_scores(values, top, 5)
-    return scores.agg(F.count("*").alias("n_rows"), *[r(F.sum(F.col("pc")[i] * F.col("pc")[i]), 3).alias(f"energy_{i}") for i in range(5)])
+    scores, explained = ex.pca_scores(values, top, 20)
+    energy = F.aggregate("pc", F.lit(0.0), lambda s, v: s + v * v)
+    return scores.agg(F.count("*").alias("n_rows"), r(F.sum(energy), 3).alias("total_energy"))
+
+
+@query("f1_custom_score_growth")
+def _(ws):
+    """Growth with another score function: nearest bins first, up to half the disc."""
+    def nearest_first(cell, legal, step):
+        return 0.5 - cell.base
+
+    ranked = ws["patch_members"].withColumn("cell_rank", F.when(F.col("role") == "core", 0).otherwise(1000000000) + F.col("cell_id"))
+    rows = ranked.select("patch_id", "cell_id", "cell_rank").join(ws["context"], "cell_id")
+    grown = gr.grow_patches(rows, steps.WEIGHTS, score=nearest_first)
+    return grown.filter("kind = 'summary'").select("patch_id", "step_index", "stop_reason", "n_cells")
+
+
+@query("f2_transition_rewards", f"""
+select l.episode_id, l.step_index, case when l.action = 'add' then {R('coalesce(s.add_score, 0.0e0)', 4)} when l.action = 'stop' then {R('coalesce(-0.7e0*t.stop_delta, 0.0e0)', 4)} when l.action = 'replace' then -0.25e0 else 0.0e0 end as step_reward
+from step_log l left join sco s on s.cell_id = l.cell_id and s.barcode = l.barcode left join topk t on t.cell_id = l.cell_id""")
+def _(ws):
+    from ..operators.logs import with_rewards
+    scored = ws["scored"].select("cell_id", "barcode", "add_score")
+    stop = sc.stop_scores(ws["scored"], ["cell_id"], "is_frontier", steps.WEIGHTS).select("cell_id", "stop_score")
+    joined = ws["step_log"].join(scored, ["cell_id", "barcode"], "left").join(stop, "cell_id", "left")
+
+    def reward(log):
+        z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        return F.when(F.col("action") == "add", z("add_score")).when(F.col("action") == "stop", z("stop_score")).when(F.col("action") == "replace", -0.25).otherwise(0.0)
+
+    return with_rewards(joined, reward, "step_reward").select("episode_id", "step_index", *rs("step_reward", digits=4))
 
 
 # ---- assignment tables ----

@@ -238,7 +238,34 @@ def _(ws):
     return out.select("cell_id", "barcode", *rs("new_hull"))
 
 
-@query("g11_shape_delta_terms")
+# the same change as SQL: features of seeds and of seeds plus a bin, in model space, under the Gaussian mixture
+cte("hull_after", "with " + _HULL.format(t="9", g="front_cells") + " select k, hull from hu9")
+cte("hull_now", "with " + _HULL.format(t="8", g="seed_cells") + " select k, hull from hu8")
+cte("shape_now", f"""
+select k as cell_id, ln(n + 1.0e0) as log_area, 4.0e0*pi()*n/greatest(perimeter*perimeter*1.0e0, 1.0e-8) as compactness, n/(case when n <= 2 then n*1.0e0 else greatest(hull, n) end) as solidity,
+ {_ANISO.format(n='n', M='major', m='minor')} as anisotropy from (
+ select *, greatest((xx + yy + sqrt((xx-yy)*(xx-yy) + 4.0e0*xy*xy))/2.0e0, 0.0e0) as major, greatest((xx + yy - sqrt((xx-yy)*(xx-yy) + 4.0e0*xy*xy))/2.0e0, 0.0e0) as minor from (
+  select k, n, perimeter, hull, sxx/n - (sx/n)*(sx/n) as xx, syy/n - (sy/n)*(sy/n) as yy, sxy/n - (sx/n)*(sy/n) as xy from seed_sums join seed_perimeter using (k) join hull_now using (k)) a) b""")
+cte("model_scale", "select " + ", ".join(f"avg({n}) as sm{i}, case when stddev_pop({n}) > 1.0e-12 then stddev_pop({n}) else 1.0e0 end as ss{i}" for i, n in enumerate(_RAW)) + " from shape_features")
+cte("model_z", "select cell_id % 3 as lab, " + ", ".join(f"({n} - sm{i})/ss{i} as z{i}" for i, n in enumerate(_RAW)) + " from shape_features, model_scale")
+cte("raw_gauss", "select lab, " + ", ".join(f"avg(z{i}) as m{i}" for i in range(4)) + ", " + ", ".join(
+    f"covar_samp(z{i}, z{j}){' + 1.0e-4' if i == j else ''} as a{i}{j}" for i, j in _PAIRS) + ", count(*)/(select count(*) from model_z) as prior from model_z group by 1")
+cte("raw_chol", _CH.format(t="raw_gauss", **_E2))
+cte("points", f"""
+select cell_id, barcode, {', '.join(f'({n} - sm{i})/ss{i} as z{i}' for i, n in enumerate(_RAW))} from (
+ select a.cell_id, a.barcode, new_log_area as log_area, new_compactness as compactness, new_area/(case when new_area <= 2 then new_area*1.0e0 else greatest(h.hull, new_area) end) as solidity, new_anisotropy as anisotropy
+ from shape_after a join front f on f.cell_id = a.cell_id and f.barcode = a.barcode join hull_after h on h.k = f.cell_id*1000000 + cast(f.gy*1000 + f.gx as bigint)
+ union all select cell_id, 'now', log_area, compactness, solidity, anisotropy from shape_now) q, model_scale""")
+cte("point_rewards", "select cell_id, barcode, max(mx) + ln(sum(exp(v - mx))) as reward from (select *, max(v) over (partition by cell_id, barcode) as mx from (select cell_id, barcode, ln(prior) - 0.5e0*(4.0e0*ln(2.0e0*pi()) + 2.0e0*(ln(l00) + ln(l11) + ln(l22) + ln(l33)) + y0*y0 + y1*y1 + y2*y2 + y3*y3) as v from ("
+    + _forward("(select * from points cross join raw_chol)", [f"z{i}" for i in range(4)], [f"m{i}" for i in range(4)]) + ") g) w) u group by 1, 2")
+
+
+@query("g11_shape_delta_terms", f"""
+with d as (select a.cell_id, a.barcode, a.reward - b.reward as shape_raw from point_rewards a join point_rewards b on b.cell_id = a.cell_id and b.barcode = 'now' where a.barcode <> 'now')
+select cell_id, barcode, case when abs(shape_raw) < 1000 then {R('shape_raw', 3)} end as shape_raw,
+ {R('least(greatest((shape_raw - avg(shape_raw) over (partition by cell_id))/(stddev_pop(shape_raw) over (partition by cell_id) + 1.0e-8), -5.0e0), 5.0e0)', 3)} as shape_term from d""")
 def _(ws):
     d = sh.delta_shape_rewards(ws["seed_states"], seed_candidates(ws), ws["raw_model"], sh.scaler(ws["shape_features"]), ["cell_id"], "array_col", "array_row")
-    return sh.frontier_shape_terms(d, ["cell_id"])
+    # degenerate shapes have huge negative likelihoods, whose digits are noise
+    return sh.frontier_shape_terms(d, ["cell_id"]).select(
+        "cell_id", "barcode", F.when(F.abs("shape_raw") < 1000, r("shape_raw", 3)).alias("shape_raw"), *rs("shape_term", digits=3))

@@ -163,7 +163,9 @@ def _state(ws: Workspace):
 
 @step("scored", stored=True)
 def _scored(ws: Workspace):
-    return sc.add_scores(ws["state"], ["cell_id"], WEIGHTS, "is_frontier")
+    # likelihood arrays have served the raw terms and are not carried further
+    slim = ws["state"].drop("ll", "ll_sum", "conf_ll_sum", "posterior")
+    return sc.add_scores(slim, ["cell_id"], WEIGHTS, "is_frontier")
 
 
 @step("ll_features")

@@ -7,7 +7,7 @@ and "last action before" questions are max-by aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -72,6 +72,18 @@ def backward_sum(log: DataFrame, keys: Sequence[str], index: str, value: str, fa
     return joined.select(*log.columns, (F.col("_local") + carried).alias(out))
 
 
+RewardFunction = Callable[[DataFrame], Column]
+
+
+def zero_reward(log: DataFrame) -> Column:
+    return F.lit(0.0)
+
+
+def with_rewards(log: DataFrame, reward: RewardFunction = zero_reward, out: str = "reward") -> DataFrame:
+    """Attach the reward of every transition; any expression over the log's columns can be the reward."""
+    return log.withColumn(out, reward(log))
+
+
 def discounted_returns(log: DataFrame, gamma: float, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
     return backward_sum(log, keys, "step_index", "reward", gamma, None, "discounted_return")
 

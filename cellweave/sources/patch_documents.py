@@ -25,9 +25,16 @@ def manifest(docs: DataFrame) -> DataFrame:
                        F.size("cells").cast("bigint").alias("n_cells"), F.size("margin_cell_ids").cast("bigint").alias("n_margin_cells"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON line per patch, partitioned by patch id, plus the manifest."""
-    docs.withColumn("patch", F.col("patch_id")).write.mode("overwrite").partitionBy("patch").json(f"{path}/patches")
+def write_documents(docs: DataFrame, path: str, folder_per_patch: bool = False) -> None:
+    """One JSON line per patch, plus the manifest.
+
+    Files are ranges of patch ids. A folder per patch is only for small exports: a slide
+    has far too many patches for one directory entry each.
+    """
+    if folder_per_patch:
+        docs.withColumn("patch", F.col("patch_id")).write.mode("overwrite").partitionBy("patch").json(f"{path}/patches")
+    else:
+        docs.repartitionByRange("patch_id").sortWithinPartitions("patch_id").write.mode("overwrite").json(f"{path}/patches")
     manifest(docs).write.mode("overwrite").json(f"{path}/manifest")
 
 

@@ -1,7 +1,10 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Stage tables are forgotten before every query, so each time covers the query's whole
-lineage from the source tables. Results are fully written to a sink that drops them.
+Queries run in workflow order in one session. A stage table is written by the first query
+that needs it and read by later ones, as the jobs of the workflow hand over files; its cost
+is counted once, in that first query. With BENCH_COLD=1 stage tables are forgotten before
+every query, so that each time covers its whole lineage. Results are fully written to a
+sink that drops them.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ def main() -> None:
     spark = build_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     runner("s1_table_scan")(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    cold = os.environ.get("BENCH_COLD") == "1"
     times: dict[str, float] = {}
     for name in HEADLINE:
-        forget_workspaces()
+        if cold:
+            forget_workspaces()
         start = time.perf_counter()
         runner(name)(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

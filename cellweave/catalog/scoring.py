@@ -339,7 +339,8 @@ select patch_id, cell_id, barcode, {R('margin', Z)} as margin, {R('add_score + 0
 
 @query("g17_competition_margin", _MARGIN_SQL)
 def _(ws):
-    out = sc.competition_margins(ws["patch_scored"], sc.competitors(ws["patch_scored"], 15.0), W, 0.25, 5.0)
+    pairs = sc.competitors(ws["patch_scored"], 15.0, of=ws["patch_scored"].filter("is_legal"))
+    out = sc.competition_margins(ws["patch_scored"], pairs, W, 0.25, 5.0)
     return out.select("patch_id", "cell_id", "barcode", *rs("margin", "adjusted_score", "margin_feature", digits=Z))
 
 

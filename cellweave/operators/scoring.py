@@ -318,13 +318,14 @@ def replace_gains(adds: DataFrame, removals: DataFrame, scope: Sequence[str] = (
         *scope, "barcode", "cell_id", "old_cell_id", (F.col("delta") + F.col("_remove")).alias("replace_gain"))
 
 
-def competitors(patch_candidates: DataFrame, radius_um: float) -> DataFrame:
+def competitors(patch_candidates: DataFrame, radius_um: float, of: DataFrame | None = None) -> DataFrame:
     """Other cells of the patch that hold the same bin and whose centre is within the radius of it.
 
-    A patch holds at most its cell cap, so one (patch, bin) key joins at most cap rows.
+    ``of`` restricts the rows that look for competitors, such as the legal ones. A patch
+    holds at most its cell cap, so one (patch, bin) key joins at most cap rows.
     """
     other = patch_candidates.select("patch_id", "barcode", F.col("cell_id").alias("other_id"), F.col("dist_um").alias("_d"))
-    mine = patch_candidates.select("patch_id", "barcode", "cell_id")
+    mine = (patch_candidates if of is None else of).select("patch_id", "barcode", "cell_id")
     return mine.join(other, ["patch_id", "barcode"]).filter(
         (F.col("cell_id") != F.col("other_id")) & (F.col("_d") * F.col("_d") <= radius_um * radius_um + 1.0e-8)).select("patch_id", "barcode", "cell_id", "other_id")
 

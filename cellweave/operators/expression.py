@@ -15,7 +15,6 @@ from ..functions.scalars import attach_scalars
 from ..functions.stats import vector_agg
 
 MAX_TYPES = 2000
-MAX_DENSE_CELLS_PER_GENE = MAX_TYPES
 
 
 def gene_allowlist(names: DataFrame, column: str, first_seen: str | None = None) -> DataFrame:

@@ -17,7 +17,6 @@ def main() -> None:
     spark = build_session(8, "profile")
     spark.sparkContext.setLogLevel("ERROR")
     ws = wsm.workspace(spark, f"/root/testdata/sf{sys.argv[1]}")
-    depth = 0
     original = wsm.write_stage
 
     def timed(df, label):

@@ -28,13 +28,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = MAP_BITS) -> DataFrame:
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = MAP_BITS, negate: bool = False) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be among ``keys``: a semi-join ahead of an exact one.
 
     The filter is a bit map of ``2**bits`` bits, at most ``2**(bits-6)`` rows of two numbers
     (1.5 MB by default) whatever the number of keys, so that it is always safe to broadcast.
     It lets through every true match; the more keys, the more rows it lets through besides,
-    and the join that follows decides. Null keys never match.
+    and the join that follows decides. Null keys never match. ``negate`` gives the other rows.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
     used = keys.where(keys_key.isNotNull()).select(slot(keys_key).alias("cw_slot"))
@@ -42,7 +42,7 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
         F.bit_or(F.expr("shiftleft(1L, cast(cw_slot & 63L as int))")).alias("cw_bits"))
     fits = (F.shiftright(slot(key), 6) == F.col("cw_word")) & (
         F.bit_get(F.col("cw_bits"), slot(key).bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return df.where(key.isNotNull()).join(F.broadcast(words), fits, "left_semi")
+    return df.join(F.broadcast(words), fits, "left_anti" if negate else "left_semi")
 
 
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

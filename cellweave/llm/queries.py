@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import table
 from .decontaminate import contaminated_words
 from .exact_dedup import exact_duplicates
+from .passages import without_repeats
 from .registry import query
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -41,3 +42,18 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(names, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op7_substring_dedup", r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, s, array_to_string(w[s:s + 49], ' ') as g from d, unnest(generate_series(1, len(w) - 49)) as u(s) where len(w) >= 50),
+f as (select g, min(doc_id) as first_id from g group by g having min(doc_id) < max(doc_id)),
+r as (select distinct doc_id, p from g join f using (g), unnest(generate_series(s, s + 49)) as u(p) where first_id < doc_id),
+k as (select d.doc_id, string_agg(x, ' ' order by q) as t, count(*) as n
+      from (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as q from d) d
+      anti join r on d.doc_id = r.doc_id and d.q = r.p group by d.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from d left join k on d.doc_id = k.doc_id""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -10,7 +10,7 @@ from .common import table
 from .decontaminate import contaminated_words
 from .exact_dedup import exact_duplicates
 from .passages import without_repeats
-from .registry import query
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .simhash import near_duplicates
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

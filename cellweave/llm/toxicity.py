@@ -31,11 +31,12 @@ from .common import held_out, pieces
 
 SAMPLE = 10_000
 #: Stems of these lengths compete with whole words as insult patterns.
-STEMS = (4, 5, 6)
-#: Patterns kept at most, the most telling first: bounds what is sent to the executors.
-LEXICON = 2_000
+STEMS = (3, 4, 5, 6, 7, 8)
+#: Candidate patterns at most, the most frequent first, and words that explain a document.
+CANDIDATES = 3_000
+ENOUGH = 3
 #: At least this share of a pattern's documents is toxic.
-PRECISION = 0.9
+PRECISION = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 #: Closed word classes of English, German, French and Spanish.
@@ -73,38 +74,43 @@ REACH = 3
 NEAR_TARGET, NEGATED, REPORTED, THREATENED = 1.25, 0.6, 0.6, 4.0
 
 
-def clause_weight(parts: list[tuple[int, float]]) -> float:
-    """Weight of the best path of one clause through the grammar."""
-    total, negated, target, reported, threat = 0.0, 0, 0, 1.0, 0
-    for part, weight in parts:
+def clause_weights(words: list[str], lexicon: Lexicon) -> Iterator[tuple[str, float]]:
+    """The words of one clause that the grammar gives a weight."""
+    negated, target, reported, threat = 0, 0, 1.0, ""
+    threat_left = 0
+    for word in words:
+        part, weight = lexicon.read(word)
         if part == INSULT:
-            total += weight * (NEAR_TARGET if target else 1.0) * (NEGATED if negated else 1.0) * reported
-        elif part == THREAT:
-            threat = 0 if negated else REACH + 1
+            yield word, weight * (NEAR_TARGET if target else 1.0) * (NEGATED if negated else 1.0) * reported
+        elif part == THREAT and not negated:
+            threat, threat_left = word, REACH + 1
         elif part == TARGET:
-            if threat:
-                total += THREATENED * reported
+            if threat_left:
+                yield threat, THREATENED * reported
             target = REACH + 1
         elif part == NEGATION:
             negated = REACH + 1
         elif part == REPORT:
             reported = REPORTED
-        negated, target, threat = max(0, negated - 1), max(0, target - 1), max(0, threat - 1)
-    return total
+        negated, target, threat_left = max(0, negated - 1), max(0, target - 1), max(0, threat_left - 1)
 
 
 def text_weight(text: str | None, lexicon: Lexicon) -> float:
-    """Sum over the clauses; clauses without insult or threat weigh nothing and are passed over."""
+    """Sum over the different words at their strongest clauses, so that repetition adds nothing.
+
+    Clauses without insult or threat weigh nothing and are passed over.
+    """
     low = (text or "").lower()
     heads = {w for w in set(WORD.findall(low)) if w in THREATS or lexicon.insult(w)}
     if not heads:
         return 0.0
-    total = 0.0
+    best: dict[str, float] = {}
     for clause in CLAUSE.split(low):
         words = WORD.findall(clause)
         if not heads.isdisjoint(words):
-            total += clause_weight([lexicon.read(w) for w in words])
-    return total
+            for word, weight in clause_weights(words, lexicon):
+                best[word] = max(best.get(word, 0.0), weight)
+    return sum(best.values())
 
 
 @dataclass
@@ -125,31 +131,73 @@ def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     return rows.where("text is not null").groupBy(F.xxhash64("text").alias("key")).agg(F.max("label").alias("label"), F.any_value("text").alias("text"))
 
 
+def spellings(word: str) -> list[str]:
+    """The patterns that a word fits: itself and its stems."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)]
+
+
 def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", 2 << 20):
             found, toxic = [], []
             for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
-                words = set(WORD.findall(text.lower()))
-                own = words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
+                own = {p for w in set(WORD.findall(text.lower())) for p in spellings(w)}
                 found.extend(own)
                 toxic.extend([label] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], ["pattern", "label"])
 
 
+def surprise(t: float, n: float, prior: float) -> float:
+    """Log-likelihood gained by a share of t in n over the prior share."""
+    p = t / n
+    return t * math.log(p / prior) + ((n - t) * math.log((1 - p) / (1 - prior)) if t < n else 0.0)
+
+
 def learn_lexicon(rows: DataFrame, n: int, toxic: int) -> Lexicon:
-    """Patterns whose share of toxic documents can't be chance, given how many are tried."""
+    """Patterns whose share of toxic documents can't be chance, given how many are tried.
+
+    They are taken one by one, by the toxic documents that they add: a document stops
+    counting once ``ENOUGH`` of its words are explained, so that what merely stands in the
+    same copies, or is spelled like a longer pattern, finds nothing left to explain.
+    """
     if not 0 < toxic < n:
         return Lexicon()
     prior = toxic / n
     tally = rows.mapInArrow(patterns_of, "pattern string, label int").groupBy("pattern").agg(
         F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     tried = tally.count()
-    p = F.col("t") / F.col("n")
-    surprise = F.col("n") * (p * F.log(p / prior) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - prior))).otherwise(0.0))
-    kept = tally.where((p >= PRECISION) & (surprise > math.log(max(2, tried)) + 3)).orderBy(F.desc("t"), "pattern").limit(LEXICON).collect()
-    weight = {r.pattern: math.log((r.t + 0.5) / (toxic + 1)) - math.log((r.n - r.t + 0.5) / (n - toxic + 1)) for r in kept}
-    return Lexicon({k: w for k, w in weight.items() if k[-1] != "*"}, {k[:-1]: w for k, w in weight.items() if k[-1] == "*"})
+    needed = math.log(max(2, tried)) + 3
+    found = tally.where(F.col("t") >= PRECISION * F.col("n")).orderBy(F.desc("t"), "pattern").limit(CANDIDATES).collect()
+    clean = {r.pattern: r.n - r.t for r in found if surprise(r.t, r.n, prior) > needed}
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [sorted(w for w in set(WORD.findall(t.lower())) if any(p in clean for p in spellings(w))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["words"])
+
+    # at most ``size`` rows, of words that some candidate fits
+    texts = [set(r.words) for r in rows.where("label = 1").mapInArrow(words, "words array<string>").collect()]
+    holders: dict[str, list[tuple[int, str]]] = {}
+    for number, own in enumerate(texts):
+        for word in own:
+            for p in spellings(word):
+                if p in clean:
+                    holders.setdefault(p, []).append((number, word))
+    explained = [0] * len(texts)
+    done: set[str] = set()
+    chosen: dict[str, float] = {}
+    while holders:
+        gain = {p: len({k for k, w in pairs if w not in done and explained[k] < ENOUGH}) for p, pairs in holders.items()}
+        holders = {p: pairs for p, pairs in holders.items() if (t := gain[p]) and t >= PRECISION * (t + clean[p]) and surprise(t, t + clean[p], prior) > needed}
+        if not holders:
+            break
+        best = max(holders, key=lambda p: (surprise(gain[p], gain[p] + clean[p], prior), len(p), p))
+        chosen[best] = math.log((gain[best] + 0.5) / (toxic + 1)) - math.log((clean[best] + 0.5) / (n - toxic + 1))
+        for number, word in holders.pop(best):
+            if word not in done:
+                explained[number] += 1
+        done.update(w for own in texts for w in own if best in spellings(w))
+    return Lexicon({k: w for k, w in chosen.items() if k[-1] != "*"}, {k[:-1]: w for k, w in chosen.items() if k[-1] == "*"})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:

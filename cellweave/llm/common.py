@@ -45,6 +45,17 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
     return df.join(F.broadcast(words), fits, "left_anti" if negate else "left_semi")
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids``; rows without id stay.
+
+    Texts of documents that can't be meant aren't exchanged.
+    """
+    gone = stage(ids.select(F.col("doc_id").alias("cw_gone")).distinct(), "dropped")
+    sure = maybe_in(docs, docs["doc_id"], gone, gone["cw_gone"], negate=True)
+    rest = maybe_in(docs, docs["doc_id"], gone, gone["cw_gone"])
+    return sure.union(rest.join(gone, rest["doc_id"] == gone["cw_gone"], "left_anti"))
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` holds about ``max_bytes``, one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

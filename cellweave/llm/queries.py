@@ -9,9 +9,12 @@ from . import bpe, quality, toxicity
 from .common import held_out, table
 from .decontaminate import contaminated_words
 from .exact_dedup import exact_duplicates
+from .html_text import extract
+from .line_dedup import without_boilerplate
 from .passages import without_repeats
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .simhash import near_duplicates
+from .url_filter import verdicts
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -25,6 +28,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op3_quality_classifier")
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -32,6 +40,21 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op4_line_dedup", r"""
+with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as p from documents where text is not null),
+t as (select source, count(*) as pages from documents group by source),
+b as (select source, line from (select distinct doc_id, source, line from l where line <> '') join t using (source)
+      group by source, line, pages having count(*) >= 3 and count(*) > 0.01 * pages),
+k as (select doc_id, string_agg(line, chr(10) order by p) as kept_text, count(*) as n from l anti join b using (source, line) group by doc_id),
+n as (select doc_id, count(*) as n from l group by doc_id)
+select d.doc_id, d.source, cast(coalesce(n.n, 0) as bigint) as n_lines, cast(coalesce(n.n, 0) - coalesce(k.n, 0) as bigint) as n_dropped,
+       case when d.text is not null then sha256(coalesce(k.kept_text, '')) end as kept_sha256
+from documents d left join n on d.doc_id = n.doc_id left join k on d.doc_id = k.doc_id""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +99,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(table(spark, sf_dir, "pages"))
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import held_out, pieces
 
@@ -230,6 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     return Model(lexicon, slope, base)
 
 
+def score_of(text: Column, model: Model) -> Column:
+    """The score as a column."""
+    return F.pandas_udf(lambda texts: texts.map(model.score, na_action=None), "double")(text)
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -28,6 +28,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first name with it and more underscores that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = MAP_BITS, negate: bool = False) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be among ``keys``: a semi-join ahead of an exact one.
 
@@ -37,11 +45,12 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
     and the join that follows decides. Null keys never match. ``negate`` gives the other rows.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    word, bit_set = free_name(df, "cw_word"), free_name(df, "cw_bits")
     used = keys.where(keys_key.isNotNull()).select(slot(keys_key).alias("cw_slot"))
-    words = used.groupBy(F.shiftright("cw_slot", 6).alias("cw_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(cw_slot & 63L as int))")).alias("cw_bits"))
-    fits = (F.shiftright(slot(key), 6) == F.col("cw_word")) & (
-        F.bit_get(F.col("cw_bits"), slot(key).bitwiseAND(F.lit(63)).cast("int")) == 1)
+    words = used.groupBy(F.shiftright("cw_slot", 6).alias(word)).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(cw_slot & 63L as int))")).alias(bit_set))
+    fits = (F.shiftright(slot(key), 6) == F.col(word)) & (
+        F.bit_get(F.col(bit_set), slot(key).bitwiseAND(F.lit(63)).cast("int")) == 1)
     return df.join(F.broadcast(words), fits, "left_anti" if negate else "left_semi")
 
 
@@ -50,10 +59,11 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Texts of documents that can't be meant aren't exchanged.
     """
-    gone = stage(ids.select(F.col("doc_id").alias("cw_gone")).distinct(), "dropped")
-    sure = maybe_in(docs, docs["doc_id"], gone, gone["cw_gone"], negate=True)
-    rest = maybe_in(docs, docs["doc_id"], gone, gone["cw_gone"])
-    return sure.union(rest.join(gone, rest["doc_id"] == gone["cw_gone"], "left_anti"))
+    name = free_name(docs, "cw_gone")
+    gone = stage(ids.select(F.col("doc_id").alias(name)).distinct(), "dropped")
+    sure = maybe_in(docs, docs["doc_id"], gone, gone[name], negate=True)
+    rest = maybe_in(docs, docs["doc_id"], gone, gone[name])
+    return sure.union(rest.join(gone, rest["doc_id"] == gone[name], "left_anti"))
 
 
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@
 
 A word is removed when a window of 50 words that covers it also starts in a document with a
 smaller id. All windows are hashed. What has to be exchanged is first cut down without loss:
-equal windows have the same smallest 10-word hash inside them (their anchor), and
-neighbouring windows share anchors, so that one anchor stands for about 20 windows. Only
+equal windows have the same smallest 20-word hash inside them (their anchor), and
+neighbouring windows share anchors, so that one anchor stands for about 15 windows. Only
 windows whose anchor occurs in two documents or more are then counted, by 128-bit hashes.
 
 Defined cases: null or empty texts have no words; texts shorter than a window lose nothing;
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import maybe_in, pieces, stage
 
 WINDOW = 50
-ANCHOR = 10
+ANCHOR = 20
 PIECE_BYTES = 2 << 20
 U = np.uint64
 #: Odd multipliers of the two hashes: for bytes in a word, and for words in a window.
@@ -179,6 +179,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR)
     near = maybe_in(keyed, F.col("doc_id"), lists, F.col("doc_id")).join(lists, "doc_id")
     windows = stage(near.mapInArrow(lambda b: find_windows(b, size, anchor), "h1 long, h2 long, doc_id long, text_key long, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    first = stage(first, "first-ids")  # both sides of the join are then dealt by Spark, which splits what a common passage makes large
     return windows.join(first, ["h1", "h2"]).where("first_id < doc_id").select("doc_id", "text_key", "at")
 
 

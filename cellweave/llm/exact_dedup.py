@@ -65,7 +65,9 @@ def exact_duplicates(docs: DataFrame, identifiers: Sequence[Identifier] = IDENTI
             break
     else:
         raise ValueError("no identifier tells all chunks apart")
-    groups = table.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return table.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    groups = table.groupBy("recipe").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = stage(groups, "copies")  # Spark can then split the join where a group is large
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
+    return table.join(groups, "recipe", "left").select(
+        "doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256")

@@ -237,9 +237,13 @@ def near_links(distinct: DataFrame, limit: int = BITS, bucket: int = BUCKET) ->
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, limit: int = BITS, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest doc_id that links lead to)."""
     table = stage(fingerprints(docs, size), "fingerprints")
-    classes = table.groupBy("fp").agg(F.min("doc_id").alias("class_id"))
+    classes = table.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
     roots = components(near_links(classes.select("fp"), limit, bucket)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    by_class = placed.join(least, "root").select("fp", "component_id")
-    return table.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    linked = roots.select("fp").union(roots.select("root")).distinct()
+    placed = linked.join(classes, "fp").join(roots, "fp", "left").select("fp", "class_id", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("class_id").alias("least_id"))
+    alone = classes.where("n > 1").join(linked, "fp", "left_anti").select("fp", F.col("class_id").alias("least_id"))
+    # documents without companions need no row; Spark can split the join where a class is large
+    by_class = stage(placed.join(least, "root").select("fp", "least_id").union(alone), "classes").withColumn("met", F.lit(True))
+    component = F.when(F.col("met"), F.col("least_id")).otherwise(F.col("doc_id"))
+    return table.join(by_class, "fp", "left").select("doc_id", "fp", component.alias("component_id"))

@@ -356,14 +356,17 @@ def _(ws):
     return back.select("patch_id", F.explode("cells").alias("c")).select("patch_id", "c.cell_id", "c.predicted_bins", "c.gt_bins")
 
 
-@query("s12_seeded_sample", "select c_custkey, c_mktsegment from customer order by (c_custkey*48271 + 11) % 2147483647, c_custkey limit 200")
+@query("s12_seeded_sample", "select c_custkey, c_mktsegment from customer order by md5(concat('5:', c_custkey)), c_custkey limit 200")
 def _(ws):
-    return tables.sample_rows(ws["customer"], "c_custkey", 200).select("c_custkey", "c_mktsegment")
+    return tables.sample_rows(ws["customer"], "c_custkey", 200, seed=5).select("c_custkey", "c_mktsegment")
 
 
-@query("s12_sample_with_replacement")
+@query("s12_sample_with_replacement", """
+with c as (select c_custkey, row_number() over (order by c_custkey) - 1 as place from customer)
+select draw, c_custkey from (select draw, cast(concat('0x', substr(md5(concat('7:', draw)), 1, 15)) as bigint) % (select count(*) from customer) as place
+ from (select unnest(generate_series(1, 3000)) as draw) d) q join c using (place)""")
 def _(ws):
-    return tables.sample_with_replacement(ws["customer"], 2.0, 7).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return tables.sample_with_replacement(ws["customer"].select("c_custkey"), "c_custkey", 3000, seed=7)
 
 
 # ---- streams ----

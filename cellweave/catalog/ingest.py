@@ -38,11 +38,13 @@ def _(ws):
 select * from (
  select 'null:cell_id' as check_name, count(*) filter (cell_id is null) as n_bad from pixels
  union all select 'null:x', count(*) filter (x is null) from pixels
+ union all select 'non_numeric:x', 0 from (select 1) o
  union all select 'non_finite:x', 0 from (select 1) o
  union all select 'null:y', count(*) filter (y is null) from pixels
+ union all select 'non_numeric:y', 0 from (select 1) o
  union all select 'non_finite:y', 0 from (select 1) o
  union all select 'non_positive:cell_id', count(*) filter (not cell_id > 0) from pixels
- union all select 'duplicate:cell_id', count(*) - count(distinct cell_id) from pixels) q""")
+ union all select 'duplicate:cell_id', count(cell_id) - count(distinct cell_id) from pixels) q""")
 def _(ws):
     from ..schema import quality_report
     return quality_report(ws["pixels"], ["cell_id"], ["x", "y"], ["cell_id"])

@@ -84,8 +84,9 @@ def _(ws):
 
 
 @query("j9_eight_neighbours", """
-select a.cell_id, a.barcode, b.barcode as n_barcode from candidates a join candidates b on a.cell_id = b.cell_id
- and abs(a.array_row - b.array_row) <= 1 and abs(a.array_col - b.array_col) <= 1 and a.barcode <> b.barcode""")
+select a.cell_id, a.barcode, b.barcode as n_barcode
+from (select cell_id, barcode, array_row + dr as array_row, array_col + dc as array_col from candidates, (values (-1), (0), (1)) r(dr), (values (-1), (0), (1)) c(dc) where dr <> 0 or dc <> 0) a
+join candidates b using (cell_id, array_row, array_col)""")
 def _(ws):
     c = ws["candidates"].select("cell_id", "barcode", "array_col", "array_row")
     return grid.neighbour_pairs(c, ["cell_id"], "array_col", "array_row", carry=["barcode"]).select("cell_id", "barcode", "n_barcode")

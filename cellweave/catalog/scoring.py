@@ -293,10 +293,10 @@ cte("rescue_patches", """
 select (select count(*) from grid_patches) + row_number() over (order by cast(cell_id as varchar)) - 1 as patch_number, center_x_um as cx, center_y_um as cy from nuclei
 where cell_id not in (select cell_id from kept_members where role = 'core')""")
 cte("pbox", """
-select patch_number, concat('patch_', lpad(cast(patch_number as varchar), 7, '0')) as patch_id, source, cx, cy from (
+select patch_number, printf('patch_%07d', patch_number) as patch_id, source, cx, cy from (
  select patch_number, 'grid0' as source, cx, cy from grid_patches union all select patch_number, 'rescue', cx, cy from rescue_patches) q""")
 cte("pmem", """
-select concat('patch_', lpad(cast(patch_number as varchar), 7, '0')) as patch_id, cell_id, role, dist2 from (
+select printf('patch_%07d', patch_number) as patch_id, cell_id, role, dist2 from (
  select patch_number, cell_id, role, dist2 from kept_members union all
  select patch_number, cell_id, case when abs(center_x_um - cx) <= 24.0e0 and abs(center_y_um - cy) <= 24.0e0 then 'core' else 'margin' end,
   (center_x_um-cx)*(center_x_um-cx) + (center_y_um-cy)*(center_y_um-cy) from rescue_patches, nuclei where abs(center_x_um - cx) <= 32.0e0 and abs(center_y_um - cy) <= 32.0e0) q""")

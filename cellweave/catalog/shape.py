@@ -202,7 +202,7 @@ def _(ws):
 
 @query("a41_stratified_sample", """
 with q as (select cell_type, greatest(round_even(120.0e0*count(*)/(select count(*) from shape_table), 0), 1) as quota from shape_table group by 1),
-k as (select t.*, (cell_id*48271 + 11) % 2147483647 as key from shape_table t), rk as (select k.*, quota, row_number() over (partition by cell_type order by key, cell_id) as rn from k join q using (cell_type))
+k as (select t.*, md5(concat('0:', cell_id)) as key from shape_table t), rk as (select k.*, quota, row_number() over (partition by cell_type order by key, cell_id) as rn from k join q using (cell_type))
 select cell_id, cell_type from rk order by case when rn > quota then 1 else 0 end, key, cell_id limit 120""")
 def _(ws):
     return sh.stratified_sample(ws["shape_table"], "cell_type", "cell_id", 120).select("cell_id", "cell_type")
@@ -262,10 +262,8 @@ cte("point_rewards", "select cell_id, barcode, max(mx) + ln(sum(exp(v - mx))) as
 
 @query("g11_shape_delta_terms", f"""
 with d as (select a.cell_id, a.barcode, a.reward - b.reward as shape_raw from point_rewards a join point_rewards b on b.cell_id = a.cell_id and b.barcode = 'now' where a.barcode <> 'now')
-select cell_id, barcode, case when abs(shape_raw) < 1000 then {R('shape_raw', 3)} end as shape_raw,
+select cell_id, barcode, {R('shape_raw', 3)} as shape_raw,
  {R('least(greatest((shape_raw - avg(shape_raw) over (partition by cell_id))/(stddev_pop(shape_raw) over (partition by cell_id) + 1.0e-8), -5.0e0), 5.0e0)', 3)} as shape_term from d""")
 def _(ws):
     d = sh.delta_shape_rewards(ws["seed_states"], seed_candidates(ws), ws["raw_model"], sh.scaler(ws["shape_features"]), ["cell_id"], "array_col", "array_row")
-    # degenerate shapes have huge negative likelihoods, whose digits are noise
-    return sh.frontier_shape_terms(d, ["cell_id"]).select(
-        "cell_id", "barcode", F.when(F.abs("shape_raw") < 1000, r("shape_raw", 3)).alias("shape_raw"), *rs("shape_term", digits=3))
+    return sh.frontier_shape_terms(d, ["cell_id"]).select("cell_id", "barcode", *rs("shape_raw", "shape_term", digits=3))

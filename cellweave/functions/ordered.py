@@ -8,6 +8,7 @@ each block, and carry block totals forward. A block, not a group, is what one ta
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,6 +29,13 @@ def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
     return write_stage(blocked, "blocks")
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys where null is a key like any other."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def _carry(totals: DataFrame, keys: Sequence[str], outs: Mapping[str, str]) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     cols = []
@@ -58,7 +66,7 @@ def running(
     local = blocked.select("*", *[fns[kinds[o]](f"_v_{o}").over(inside).alias(f"_l_{o}") for o in values])
     totals = blocked.groupBy(*keys, BLOCK).agg(*[fns[kinds[o]](f"_v_{o}").alias(f"_t_{o}") for o in values])
     carried = _carry(totals, keys, kinds)
-    out = local.join(carried, [*keys, BLOCK])
+    out = join_groups(local, carried, [*keys, BLOCK])
     final = []
     for o, kind in kinds.items():
         if kind == "sum":
@@ -88,7 +96,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
         F.max(F.struct(*order, F.col(value).alias("_end"))).alias("_m")
     ).select(*keys, BLOCK, F.col("_m._end").alias("_end"))
     across = ends.select(*keys, BLOCK, F.lag("_end").over(Window.partitionBy(*keys).orderBy(BLOCK)).alias("_prev_end"))
-    joined = local.join(across, [*keys, BLOCK])
+    joined = join_groups(local, across, [*keys, BLOCK])
     return joined.select(*df.columns, F.when(F.col("_rn") == 1, F.col("_prev_end")).otherwise(F.col("_lag")).alias(out))
 
 
@@ -102,7 +110,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapp
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     run = running(counts, keys, [value], sums={"_hi": F.col("_n")})
     total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    joined = run.join(total, keys) if keys else attach_scalars(run, total)
+    joined = join_groups(run, total, keys) if keys else attach_scalars(run, total)
     v = F.col(value).cast("double")
 
     def at(position: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import overlap_category, safe_ratio
 from ..functions.ordered import exact_quantiles
 from ..functions.scalars import attach_scalars
+from .shape import mix_key
 from .spatial_join import rows_in_boxes
 
 OVERLAP_METRICS = ("pred_iou", "pred_dice", "pred_precision", "pred_recall", "pred_f1")
@@ -69,11 +70,11 @@ def overlap_metrics(pairs: DataFrame, predicted: DataFrame, truth: DataFrame) ->
 
 
 def metric_summary(records: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Mean, median and count of finite values per metric, in long form."""
+    """Mean, median and count of finite values per metric, in long form; none gives nulls and 0."""
     long = records.select(*[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([], list(metrics), "metric", "value")
-    finite = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    base = finite.groupBy("metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n_valid"))
-    return base.join(exact_quantiles(finite, ["metric"], "value", {"median": 0.5}), "metric")
+    valid = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
+    base = long.groupBy("metric").agg(F.avg(F.when(valid, F.col("value"))).alias("mean"), F.count_if(valid).alias("n_valid"))
+    return base.join(exact_quantiles(long.filter(valid), ["metric"], "value", {"median": 0.5}), "metric", "left")
 
 
 def match_fractions(records: DataFrame) -> DataFrame:
@@ -194,9 +195,9 @@ def bin_classes(pairs: DataFrame, predicted: DataFrame, truth: DataFrame) -> Dat
         "cell_id", "barcode", F.when(F.col("_p").isNull(), "fn").when(F.col("_g").isNull(), "fp").otherwise("tp").alias("bin_class"))
 
 
-def pick_records(records: DataFrame, n: int, how: str) -> DataFrame:
+def pick_records(records: DataFrame, n: int, how: str, seed: int = 0) -> DataFrame:
     """n records for display: first / top_reward / best_iou / worst_iou / random; nulls are worst."""
     order = {"first": [F.asc("cell_id")], "top_reward": [F.desc_nulls_last("total_reward"), F.asc("cell_id")],
              "best_iou": [F.desc_nulls_last("pred_iou"), F.asc("cell_id")], "worst_iou": [F.asc_nulls_last("pred_iou"), F.asc("cell_id")],
-             "random": [F.asc(F.pmod(F.col("cell_id").cast("bigint") * 48271, F.lit(2147483647))), F.asc("cell_id")]}[how]
+             "random": [F.asc(mix_key(F.col("cell_id"), seed)), F.asc("cell_id")]}[how]
     return records.orderBy(*order).limit(n)

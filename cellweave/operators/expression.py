@@ -44,10 +44,9 @@ def common_genes(spatial: DataFrame, reference: DataFrame) -> DataFrame:
     return first.join(reference.select("gene").distinct(), "gene", "left_semi")
 
 
-def typed_cells(metadata: DataFrame, cells: DataFrame, min_cells_per_type: int, order: str | None = None) -> DataFrame:
-    """Matrix cells with a type that enough cells have; repeated metadata keeps its first row."""
-    keep = F.min_by("cell_type", F.col(order)) if order else F.first("cell_type")
-    meta = metadata.groupBy("sc_barcode").agg(keep.alias("cell_type"))
+def typed_cells(metadata: DataFrame, cells: DataFrame, min_cells_per_type: int, order: str = "cell_type") -> DataFrame:
+    """Matrix cells with a type that enough cells have; repeated metadata keeps its first row by ``order``."""
+    meta = metadata.groupBy("sc_barcode").agg(F.min_by("cell_type", F.col(order)).alias("cell_type"))
     typed = cells.select("sc_barcode").distinct().join(meta, "sc_barcode").filter("cell_type is not null")
     sizes = typed.groupBy("cell_type").agg(F.count("*").alias("n_cells")).filter(F.col("n_cells") >= min_cells_per_type)
     return typed.join(sizes, "cell_type")
@@ -77,17 +76,18 @@ def dense_counts(counts: DataFrame, genes: DataFrame, types: Sequence[str]) -> D
 def log_theta(counts: DataFrame, genes: DataFrame, types: Sequence[str], epsilon: float) -> DataFrame:
     """One row per gene with the array of log theta over ``types``.
 
-    theta = (C + eps) / sum over genes of (C + eps). Built by a conditional aggregate per
+    theta = (C + eps) / sum over genes of (C + eps), which is flat for a type without counts
+    in these genes. Built by a conditional aggregate per
     gene, so no type x gene grid is expanded.
     """
     total = counts.groupBy("cell_type").agg(F.sum("count").alias("total"))
     n_genes = genes.agg(F.count("*").alias("_g"))
     denominators = attach_scalars(total, n_genes).select("cell_type", (F.col("total") + epsilon * F.col("_g")).alias("den"))
-    dens = attach_scalars(genes.select("gene"), denominators.agg(
-        F.map_from_entries(F.collect_list(F.struct("cell_type", "den"))).alias("_den")))
+    dens = attach_scalars(attach_scalars(genes.select("gene"), denominators.agg(
+        F.map_from_entries(F.collect_list(F.struct("cell_type", "den"))).alias("_den"))), n_genes)
     wide = counts.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "count"))).alias("_c"))
     joined = dens.join(wide, "gene", "left")
-    logs = [F.log((F.coalesce(F.col("_c")[F.lit(t)], F.lit(0)) + F.lit(epsilon)) / F.col("_den")[F.lit(t)]) for t in types]
+    logs = [F.log((F.coalesce(F.col("_c")[F.lit(t)], F.lit(0)) + F.lit(epsilon)) / F.coalesce(F.col("_den")[F.lit(t)], epsilon * F.col("_g"))) for t in types]
     return joined.select("gene", F.array(*logs).alias("log_theta"))
 
 

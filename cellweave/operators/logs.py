@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ordered import BLOCK, previous_value, running, with_halo
+from ..functions.ordered import BLOCK, join_groups, previous_value, running, with_halo
 from ..functions.stats import zscore_shifted
 from ..session import write_stage
 
@@ -38,7 +38,7 @@ def _values_after(blocks: DataFrame, keys: Sequence[str], size: int) -> DataFram
         shorter = grouped.select(*keys, F.col("g").alias("pos"), _fold_right(F.col("items"), F.lit(0.0)).alias("A"),
                                  F.aggregate("items", F.lit(1.0), lambda m, x: m * x["M"]).alias("M"))
         solved = _values_after(write_stage(shorter, "fold"), keys, size).select(*keys, F.col("pos").alias("g"), F.col("after").alias("start"))
-        started = grouped.join(solved, [*keys, "g"])
+        started = join_groups(grouped, solved, [*keys, "g"])
     n = F.size("items")
     after = F.transform("items", lambda x, i: F.struct(x["pos"].alias("pos"), _fold_right(
         F.slice("items", i + 2, F.greatest(n - i - 1, F.lit(0))), F.col("start")).alias("after")))
@@ -66,7 +66,7 @@ def backward_sum(log: DataFrame, keys: Sequence[str], index: str, value: str, fa
         F.min_by("_local", index).alias("A"), F.count("*").alias("_n"))
     chain = ends.select(*keys, F.col("_b").alias("pos"), "A", F.when(F.col("_any"), F.lit(0.0)).otherwise(F.pow(F.lit(float(factor)), F.col("_n"))).alias("M"))
     after = _values_after(write_stage(chain, "chain"), keys, block).withColumnRenamed("pos", "_b")
-    joined = local.join(ends.select(*part, "_end", "_last_seg", "_closed"), part).join(after, part)
+    joined = join_groups(join_groups(local, ends.select(*part, "_end", "_last_seg", "_closed"), part), after, part)
     carried = F.when((F.col("_seg") == F.col("_last_seg")) & ~F.col("_closed"),
                      F.pow(F.lit(float(factor)), F.col("_end") - F.col(index) + 1) * F.col("after")).otherwise(F.lit(0.0))
     return joined.select(*log.columns, (F.col("_local") + carried).alias(out))

@@ -95,7 +95,7 @@ def build_patches(nuclei: DataFrame, size: float, stride: float, core: float, mi
     patches = grid_patches.unionByName(rescue)
     half, inner = size / 2.0, core / 2.0
     boxed = patches.select(
-        "patch_number", F.concat(F.lit("patch_"), F.lpad(F.col("patch_number").cast("string"), 7, "0")).alias("patch_id"), "source", "cx", "cy",
+        "patch_number", F.format_string("patch_%07d", "patch_number").alias("patch_id"), "source", "cx", "cy",
         (F.col("cx") - half).alias("outer_x_min"), (F.col("cx") + half).alias("outer_x_max"),
         (F.col("cy") - half).alias("outer_y_min"), (F.col("cy") + half).alias("outer_y_max"),
         (F.col("cx") - inner).alias("core_x_min"), (F.col("cx") + inner).alias("core_x_max"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -77,19 +78,21 @@ def assert_unique(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 def quality_report(df: DataFrame, keys: Sequence[str], numeric: Sequence[str], positive: Sequence[str] = ()) -> DataFrame:
     """One pass over ``df``; rows ``(check_name, n_bad)``.
 
-    The duplicate count comes from a two-step aggregate, so a hot key is first reduced
+    Null keys count as null, not as duplicates; text in a numeric column counts as such. The
+    duplicate count comes from a two-step aggregate, so a hot key is first reduced
     to one row per key.
     """
     aggs: list[Column] = []
-    for c in keys:
+    for c in dict.fromkeys([*keys, *numeric]):
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"null:{c}"))
     for c in numeric:
-        v = F.col(c).cast("double")
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"null:{c}"))
+        v = F.col(c).try_cast("double")
+        aggs.append(F.count_if(F.col(c).isNotNull() & v.isNull()).alias(f"non_numeric:{c}"))
         aggs.append(F.count_if(F.isnan(v) | (F.abs(v) == F.lit(float("inf")))).alias(f"non_finite:{c}"))
     for c in positive:
         aggs.append(F.count_if(~(F.col(c) > 0)).alias(f"non_positive:{c}"))
-    aggs.append((F.count("*") - F.countDistinct(*keys)).alias("duplicate:" + ",".join(keys)))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+    aggs.append((F.count_if(whole) - F.countDistinct(*keys)).alias("duplicate:" + ",".join(keys)))
     wide = df.agg(*aggs)
     return wide.unpivot([], wide.columns, "check_name", "n_bad")
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.ordered import ordinal
+from ..functions.scalars import attach_scalars
 from ..operators.shape import mix_key
 
 # Suffix to format.
@@ -47,10 +49,16 @@ def write_table(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
         raise ValueError(f"cannot write {path!r}")
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``n`` rows without replacement in a fixed pseudo-random choice, returned in key order."""
-    return df.orderBy(mix_key(F.col(key)), key).limit(n).orderBy(key)
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows without replacement, chosen by ``seed``, returned in key order."""
+    return df.orderBy(mix_key(F.col(key), seed), key).limit(n).orderBy(key)
 
 
-def sample_with_replacement(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` draws by ``seed``, numbered by ``draw``; each meets its row by ordinal."""
+    numbered = ordinal(df, [key], out="_at")
+    size = df.agg(F.count("*").alias("_size")).filter("_size > 0")
+    draws = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "draw")
+    number = F.conv(F.substring(mix_key(F.col("draw"), seed), 1, 15), 16, 10).cast("bigint")
+    placed = attach_scalars(draws, size).withColumn("_at", number % F.col("_size"))
+    return placed.join(numbered, "_at").select("draw", *df.columns)

@@ -123,3 +123,10 @@ def test_label_expansion_tie_takes_smaller_label(spark):
     bins = spark.createDataFrame([(0, 0, 5), (0, 1, 0), (0, 2, 3), (0, 9, 0)], "array_row int, array_col int, l long")
     out = {r.array_col: r.expanded_label for r in sj.expand_labels(bins, "l", 2).collect()}
     assert out == {0: 5, 1: 3, 2: 3, 9: 0}
+
+
+def test_quality_report_tells_nulls_duplicates_and_text_apart(spark):
+    df = spark.createDataFrame([(None, "1"), (None, "x"), (1, None), (1, "inf"), (2, "2.5")], "k long, v string")
+    got = {r.check_name: r.n_bad for r in quality_report(df, ["k"], ["v"]).collect()}
+    assert got == {"null:k": 2, "null:v": 1, "non_numeric:v": 1, "non_finite:v": 1, "duplicate:k": 1}
+    assert {r.check_name: r.n_bad for r in quality_report(df, ["k"], ["k"]).collect()}["null:k"] == 2

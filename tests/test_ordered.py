@@ -113,3 +113,13 @@ def test_streaks(spark):
     for r in rows:
         run = run + 1 if r[2] == "add" else 0
         assert out[r[1]] == run
+
+
+def test_null_keys_are_a_group(spark):
+    from cellweave.functions import ordered as o
+    df = spark.createDataFrame([(None, 1, 2.0), (None, 2, 4.0), ("a", 1, 3.0)], "g string, i int, v double")
+    rows = {(r.g, r.i): (r.s, r.n) for r in o.running(df, ["g"], ["i"], sums={"s": F.col("v")}, rank="n").collect()}
+    assert rows == {(None, 1): (2.0, 1), (None, 2): (6.0, 2), ("a", 1): (3.0, 1)}
+    before = {(r.g, r.i): r.p for r in o.previous_value(df, ["g"], ["i"], "v", "p").collect()}
+    assert before == {(None, 1): None, (None, 2): 2.0, ("a", 1): None}
+    assert {(r.g, r.m) for r in o.exact_quantiles(df, ["g"], "v", {"m": 0.5}).collect()} == {(None, 3.0), ("a", 3.0)}

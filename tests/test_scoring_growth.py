@@ -175,3 +175,11 @@ def test_transcriptomic_score_prefers_near_and_similar(spark):
     members = spark.createDataFrame([("p", 1)], "patch_id string, cell_id long")
     s = {r.barcode: r.score for r in ex.transcriptomic_scores(ctx, expr, members, 1.0e4, 0.1, 2.0).collect()}
     assert s["near"] > s["far"] and s["seed"] > s["far"]
+
+
+def test_type_without_selected_genes_is_flat(spark):
+    from cellweave.operators import expression as ex
+    genes = spark.createDataFrame([("g1",), ("g2",)], "gene string")
+    counts = spark.createDataFrame([("t1", "g1", 3)], "cell_type string, gene string, count long")
+    got = {r.gene: r.log_theta for r in ex.log_theta(counts, genes, ["t1", "t2"], 1.0).collect()}
+    assert all(abs(v[1] - math.log(0.5)) < 1e-12 for v in got.values()) and abs(got["g1"][0] - math.log(4 / 5)) < 1e-12

@@ -128,3 +128,20 @@ def test_tiles_cover_every_cell_in_some_core(spark):
     assert max(len(v) for v in per.values()) <= 5
     numbers = sorted(r.patch_number for r in patches.collect())
     assert numbers == list(range(len(numbers)))
+
+
+def test_singular_and_tiny_clusters_have_finite_models(spark):
+    rows = [("flat", [1.0, 2.0, 3.0, 4.0])] * 9 + [("tiny", [0.0, 1.0, 0.0, 2.0]), ("tiny", [1.0, 1.0, 0.5, 2.0])] + [("one", [5.0, 5.0, 5.0, 5.0])]
+    m = spark.createDataFrame(rows, "lab string, z array<double>")
+    model = {r.label: r for r in sh.fit_gaussians(sh.cluster_moments(m, "lab")).collect()}
+    for r in model.values():
+        cov = np.array(r.cov).reshape(4, 4) + 1e-4 * np.eye(4)
+        assert np.allclose(np.array(r.inv).reshape(4, 4) @ cov, np.eye(4), atol=1e-6)
+        assert np.isclose(r.logdet, np.linalg.slogdet(cov)[1])
+    assert set(model) == {"flat", "tiny", "one"}
+
+
+def test_summary_keeps_metrics_without_values(spark):
+    df = spark.createDataFrame([(float("inf"), None), (1.0, None), (3.0, float("nan"))], "a double, b double")
+    got = {r.metric: (r.mean, r.n_valid, r.median) for r in ev.metric_summary(df, ["a", "b"]).collect()}
+    assert got == {"a": (2.0, 2, 2.0), "b": (None, 0, None)}

@@ -72,3 +72,13 @@ def test_sample_is_fixed_and_exact(spark):
     a = [r.k for r in tables.sample_rows(df, "k", 50).collect()]
     b = [r.k for r in tables.sample_rows(df.repartition(9), "k", 50).collect()]
     assert a == b == sorted(a) and len(a) == 50
+
+
+def test_samples_spread_and_follow_the_seed(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    one, two = ({r.k for r in tables.sample_rows(df, "k", 100, seed=s).collect()} for s in (1, 2))
+    assert one != two and all(len({k // 1000 for k in s}) == 5 for s in (one, two))
+    drawn = [r.k for r in tables.sample_with_replacement(df.limit(50), "k", 300, seed=3).collect()]
+    assert len(drawn) == 300 and len(set(drawn)) > 40
+    assert sorted(drawn) == sorted(r.k for r in tables.sample_with_replacement(df.limit(50).repartition(7), "k", 300, seed=3).collect())
+    assert tables.sample_with_replacement(df.limit(0), "k", 10).count() == 0

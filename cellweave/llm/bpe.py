@@ -37,8 +37,8 @@ SPLIT = r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same where all characters are below U+0100, for the quicker standard matcher.
 NARROW_SPLIT = r"[{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\t-\r \x85\xa0{L}{N}]+".format(L="A-Za-zªµºÀ-ÖØ-öø-ÿ", N="0-9²³¹¼½¾")
 WORD_END = "</w>"
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 150_000
 NEVER = 1 << 60
 
 
@@ -189,7 +189,7 @@ def vocabulary(path: str) -> Bpe:
 def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path)
     for batch in batches:
-        for part in pieces(batch, "text", 4 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             rows = [bpe.encode(t) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(r[0]) // 4 for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())],

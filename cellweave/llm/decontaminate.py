@@ -114,7 +114,7 @@ def count_shingles(batches: Iterator[pa.RecordBatch], vocab: dict[bytes, int], k
     """How many documents hold each shingle of the items."""
     totals = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
     for batch in batches:
-        for part in pieces(batch, "text", 4 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             ids, borders = numbered(part.column("text").to_pylist(), vocab)
             for s, known in keys.items():
                 at, got = shingles_at(ids, s)
@@ -151,7 +151,7 @@ def places(ids: np.ndarray, windows: Windows) -> tuple[np.ndarray, np.ndarray]:
 def mark(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
     """Add the hit places and items of one slice of the benchmark to what earlier slices found."""
     for batch in batches:
-        for part in pieces(batch, "text", 4 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             ids, borders = numbered(part.column("text").to_pylist(), windows.vocab)
             begin = np.concatenate([[0], borders + 1])
             n_words = np.concatenate([borders, [len(ids)]]) - begin

@@ -154,7 +154,7 @@ def main_text(page: str | None) -> str:
 
 def extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "html", 8 << 20):
+        for part in pieces(batch, "html", 1 << 20):
             texts = [main_text(p) for p in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -57,7 +57,7 @@ def levels(limit: int = BITS, depth: int = 3) -> list[dict[int, list[int]]]:
 def fingerprint_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hash64 = xxhash.xxh64_intdigest
     for batch in batches:
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             values, counts = [], []
             for text in part.column("text").to_pylist():
                 words = (text or "").encode().lower().split()

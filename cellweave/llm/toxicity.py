@@ -138,7 +138,7 @@ def spellings(word: str) -> list[str]:
 
 def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 18):
             found, toxic = [], []
             for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist()):
                 own = {p for w in set(WORD.findall(text.lower())) for p in spellings(w)}

@@ -319,12 +319,12 @@ def _(ws):
 
 
 cte("pcomp", """
-select a.patch_id, a.barcode, a.cell_id, b.cell_id as other_id from psco a join psco b on a.patch_id = b.patch_id and a.barcode = b.barcode and a.cell_id <> b.cell_id where b.dist_um*b.dist_um <= 225.0e0 + 1.0e-8""")
+select a.patch_id, a.barcode, a.cell_id, b.cell_id as other_id from psco a join psco b on a.patch_id = b.patch_id and a.barcode = b.barcode and a.cell_id <> b.cell_id where a.is_legal and b.dist_um*b.dist_um <= 225.0e0 + 1.0e-8""")
 
 
 @query("j21_same_bin_competitors", "select patch_id, barcode, cell_id, other_id from pcomp")
 def _(ws):
-    return sc.competitors(ws["patch_scored"], 15.0)
+    return sc.competitors(ws["patch_scored"], 15.0, of=ws["patch_scored"].filter("is_legal"))
 
 
 _MARGIN_SQL = f"""
@@ -339,8 +339,7 @@ select patch_id, cell_id, barcode, {R('margin', Z)} as margin, {R('add_score + 0
 
 @query("g17_competition_margin", _MARGIN_SQL)
 def _(ws):
-    pairs = sc.competitors(ws["patch_scored"], 15.0, of=ws["patch_scored"].filter("is_legal"))
-    out = sc.competition_margins(ws["patch_scored"], pairs, W, 0.25, 5.0)
+    out = sc.competition_margins(ws["patch_scored"], 15.0, W, 0.25, 5.0)
     return out.select("patch_id", "cell_id", "barcode", *rs("margin", "adjusted_score", "margin_feature", digits=Z))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions.ordered import ordinal
-from ..operators import shape as sh
+from ..operators import scoring as sc, shape as sh
 from ..workspace import step
 from . import steps
 from .registry import R, RS, big, bigs, cte, query, r, rs
@@ -260,10 +260,25 @@ cte("point_rewards", "select cell_id, barcode, max(mx) + ln(sum(exp(v - mx))) as
     + _forward("(select * from points cross join raw_chol)", [f"z{i}" for i in range(4)], [f"m{i}" for i in range(4)]) + ") g) w) u group by 1, 2")
 
 
-@query("g11_shape_delta_terms", f"""
-with d as (select a.cell_id, a.barcode, a.reward - b.reward as shape_raw from point_rewards a join point_rewards b on b.cell_id = a.cell_id and b.barcode = 'now' where a.barcode <> 'now')
-select cell_id, barcode, {R('shape_raw', 3)} as shape_raw,
- {R('least(greatest((shape_raw - avg(shape_raw) over (partition by cell_id))/(stddev_pop(shape_raw) over (partition by cell_id) + 1.0e-8), -5.0e0), 5.0e0)', 3)} as shape_term from d""")
-def _(ws):
+cte("shape_deltas", "select a.cell_id, a.barcode, a.reward - b.reward as shape_raw from point_rewards a join point_rewards b on b.cell_id = a.cell_id and b.barcode = 'now' where a.barcode <> 'now'")
+cte("shape_terms", """
+select *, least(greatest((shape_raw - avg(shape_raw) over (partition by cell_id))/(stddev_pop(shape_raw) over (partition by cell_id) + 1.0e-8), -5.0e0), 5.0e0) as shape_term from shape_deltas""")
+
+
+@step("shape_terms")
+def _shape_terms(ws):
     d = sh.delta_shape_rewards(ws["seed_states"], seed_candidates(ws), ws["raw_model"], sh.scaler(ws["shape_features"]), ["cell_id"], "array_col", "array_row")
-    return sh.frontier_shape_terms(d, ["cell_id"]).select("cell_id", "barcode", *rs("shape_raw", "shape_term", digits=3))
+    return sh.frontier_shape_terms(d, ["cell_id"])
+
+
+@query("g11_shape_delta_terms", f"select cell_id, barcode, {RS('shape_raw', 'shape_term', digits=3)} from shape_terms")
+def _(ws):
+    return ws["shape_terms"].select("cell_id", "barcode", *rs("shape_raw", "shape_term", digits=3))
+
+
+@query("g9_add_score_with_shape", f"""
+select s.cell_id, s.barcode, {R('add_score + 0.25e0*coalesce(t.shape_term, 0.0e0)', 3)} as add_score from sco s left join shape_terms t on t.cell_id = s.cell_id and t.barcode = s.barcode""")
+def _(ws):
+    terms = ws["shape_terms"].select("cell_id", "barcode", "shape_term")
+    state = ws["scored"].drop("gain_term", "compat_term", "add_score").join(terms, ["cell_id", "barcode"], "left").fillna(0.0, ["shape_term"])
+    return sc.add_scores(state, ["cell_id"], steps.WEIGHTS, "is_frontier", shape="shape_term").select("cell_id", "barcode", *rs("add_score", digits=3))

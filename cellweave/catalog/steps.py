@@ -158,7 +158,7 @@ def _state(ws: Workspace):
     """Initial state: every cell holds its seeds."""
     marked = sc.with_support(ws["context"], ws["context"].filter("is_seed"), ["cell_id"])
     k = len(types_of(ws))
-    return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], k), ["cell_id"]), k)
+    return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], k), ["cell_id"]))
 
 
 @step("scored", stored=True)

@@ -6,6 +6,8 @@ All use the population deviation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
@@ -46,50 +48,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-MAX_UNROLLED = 32
-
-
-def unrolled_max_softmax(scores: list[Column]) -> Column:
-    """Largest softmax probability of known terms, as one flat (compiled) expression."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    total = F.exp(scores[0] - top)
-    for s in scores[1:]:
-        total = total + F.exp(s - top)
-    return F.lit(1.0) / total
-
-
-def unrolled_dot(a: list[Column], b: list[Column]) -> Column:
-    total = F.lit(0.0)
-    for x, y in zip(a, b):
-        total = total + x * y
-    return total
-
-
 def vector_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` and its lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    weights = F.transform(scores, lambda v: F.exp(v - top))
-    return F.transform(weights, lambda w: w / vector_sum(weights))
+    def shares(weights: Column) -> Column:
+        return bound(vector_sum(weights), lambda total: F.transform(weights, lambda w: w / total))
+
+    return bound(F.array_max(scores), lambda top: bound(F.transform(scores, lambda v: F.exp(v - top)), shares))
 
 
 def softmax_max(scores: Column) -> Column:
     """Largest softmax probability: 1 / sum(exp(s - max))."""
-    top = F.array_max(scores)
-    return F.lit(1.0) / F.aggregate(scores, F.lit(0.0), lambda s, v: s + F.exp(v - top))
+    return bound(scores, lambda s: bound(F.array_max(s), lambda top: F.lit(1.0) / F.aggregate(s, F.lit(0.0), lambda t, v: t + F.exp(v - top))))
 
 
 def logsumexp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+    return bound(F.array_max(values), lambda top: top + F.log(F.aggregate(values, F.lit(0.0), lambda s, v: s + F.exp(v - top))))
 
 
 def sigmoid(value: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-value))
-
-
-def vector_agg(fn, column: str, size: int) -> Column:
-    """Element-wise aggregate of an array column of known length."""
-    return F.array(*[fn(F.col(column)[i]) for i in range(size)])

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordered import ordinal, running
 from ..functions.scalars import attach_scalars
-from ..functions.stats import vector_agg
 
 MAX_TYPES = 2000
 

@@ -88,12 +88,25 @@ def discounted_returns(log: DataFrame, gamma: float, keys: Sequence[str] = ("epi
     return backward_sum(log, keys, "step_index", "reward", gamma, None, "discounted_return")
 
 
+def with_next(log: DataFrame, keys: Sequence[str], index: str, value: str, out: str, block: int = STEP_BLOCK) -> DataFrame:
+    """``value`` of the following step, null after the last one.
+
+    Inside a block of steps it is a lead; the last step of a block takes it from the first
+    row of the next block, one row for each block.
+    """
+    number = lambda shift: (F.floor((F.col(index) - 1) / block) + shift).cast("long").alias("_b")
+    heads = log.filter(F.pmod(F.col(index) - 1, F.lit(block)) == 0).select(*keys, number(-1), F.col(value).alias("_head"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(index)
+    led = log.select("*", number(0)).withColumn("_lead", F.when(F.lead(index).over(inside) == F.col(index) + 1, F.lead(value).over(inside)))
+    nxt = F.when(F.pmod(F.col(index), F.lit(block)) == 0, F.col("_head")).otherwise(F.col("_lead"))
+    return join_groups(led, heads, [*keys, "_b"], "left").select(*log.columns, nxt.alias(out))
+
+
 def advantages(log: DataFrame, gamma: float, lam: float, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Generalised advantages and returns; the next value comes from an equality join on the step."""
-    nxt = log.select(*keys, (F.col("step_index") - 1).alias("step_index"), F.col("value_est").alias("_nv"))
+    """Generalised advantages and returns."""
     live = F.when(F.col("done"), F.lit(0.0)).otherwise(F.lit(1.0))
     delta = F.col("reward") + F.lit(gamma) * F.coalesce("_nv", F.lit(0.0)) * live - F.col("value_est")
-    rows = log.join(nxt, [*keys, "step_index"], "left").withColumn("_delta", delta).drop("_nv")
+    rows = with_next(log, keys, "step_index", "value_est", "_nv").withColumn("_delta", delta).drop("_nv")
     out = backward_sum(rows, keys, "step_index", "_delta", gamma * lam, "done", "advantage")
     return out.withColumn("return_est", F.col("advantage") + F.col("value_est")).drop("_delta")
 

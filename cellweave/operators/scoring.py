@@ -37,10 +37,10 @@ class Weights:
 
 
 def distance_to_other(candidates: DataFrame) -> DataFrame:
-    """(barcode, cell) -> nearest other centre among cells that also hold the bin as candidate.
+    """Per barcode the two nearest centres whose search disc holds the bin.
 
     An overlap penalty is only positive when the other centre is nearer than the own one,
-    hence inside the search disc: the candidate table already has every such pair.
+    hence inside the search disc: the pairs of the radius join have every such centre.
     """
     w = Window.partitionBy("barcode").orderBy("dist_um", "cell_id")
     top = candidates.select("barcode", "cell_id", "dist_um").withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")
@@ -56,9 +56,13 @@ def seed_flags(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
     return candidates.join(owner, "barcode", "left").withColumn("is_seed", F.coalesce(F.col("_owner") == F.col("cell_id"), F.lit(False))).drop("_owner")
 
 
-def build_context(candidates: DataFrame, metadata: DataFrame, bin_ll: DataFrame, w: Weights) -> DataFrame:
-    """Static columns per (cell, candidate bin): seed flag, likelihoods and penalties."""
-    flagged = seed_flags(candidates, metadata).join(distance_to_other(candidates), "barcode").join(bin_ll, "barcode")
+def build_context(candidates: DataFrame, metadata: DataFrame, bin_ll: DataFrame, w: Weights, discs: DataFrame | None = None) -> DataFrame:
+    """Static columns per (cell, candidate bin): seed flag, likelihoods and penalties.
+
+    ``discs`` are all pairs of the radius join where ``candidates`` are only a band of them.
+    """
+    others = distance_to_other(candidates if discs is None else discs)
+    flagged = seed_flags(candidates, metadata).join(others, "barcode").join(bin_ll, "barcode")
     d_other = F.when(F.col("_first.c") == F.col("cell_id"), F.col("_second.d")).otherwise(F.col("_first.d"))
     p_dis = F.col("dist_um") / w.r_max_um
     p_overlap = F.coalesce(F.greatest(F.lit(0.0), (F.col("dist_um") - d_other) / w.r_max_um), F.lit(0.0))
@@ -132,28 +136,19 @@ def mark_legal(state: DataFrame, owners: DataFrame, scope: Sequence[str] = (), b
     return state.join(owned, [*scope, "barcode"], "left").withColumn("is_legal", ok).drop("_owned")
 
 
-def posterior_gain(n_types: int | None = None) -> Column:
-    """conf * (max posterior after adding the bin - max posterior now).
-
-    With a known, small number of types the arrays are indexed term by term, which Spark
-    compiles; otherwise array functions are used.
-    """
-    if n_types is not None and n_types <= st.MAX_UNROLLED:
-        after = st.unrolled_max_softmax([F.col("ll_sum")[i] + F.col("ll")[i] for i in range(n_types)])
-    else:
-        after = st.softmax_max(st.add_vectors(F.col("ll_sum"), F.col("ll")))
+def posterior_gain() -> Column:
+    """conf * (max posterior after adding the bin - max posterior now)."""
+    after = st.softmax_max(st.add_vectors(F.col("ll_sum"), F.col("ll")))
     return F.col("expr_conf") * (after - F.array_max("posterior"))
 
 
-def compatibility(n_types: int | None = None) -> Column:
-    if n_types is not None and n_types <= st.MAX_UNROLLED:
-        return F.col("expr_conf") * st.unrolled_dot([F.col("ll")[i] for i in range(n_types)], [F.col("posterior")[i] for i in range(n_types)])
+def compatibility() -> Column:
     return F.col("expr_conf") * st.dot(F.col("ll"), F.col("posterior"))
 
 
-def with_raw_terms(state: DataFrame, n_types: int | None = None) -> DataFrame:
+def with_raw_terms(state: DataFrame) -> DataFrame:
     """The two expression terms per (cell, bin). They do not depend on the patch, so they are computed once."""
-    return state.withColumns({"gain_raw": posterior_gain(n_types), "compat_raw": compatibility(n_types)})
+    return state.withColumns({"gain_raw": posterior_gain(), "compat_raw": compatibility()})
 
 
 def add_scores(state: DataFrame, keys: Sequence[str], w: Weights, mask: str, shape: str | None = None) -> DataFrame:
@@ -295,20 +290,15 @@ def patch_objective(objectives: DataFrame, members: DataFrame, normalisation: st
 
 def objective_deltas(state: DataFrame, w: Weights) -> DataFrame:
     """Exact change of the cell objective for adding (unassigned) or removing (assigned) each bin."""
-    conf, now = F.col("expr_conf"), F.array_max("posterior")
-    now_old = st.dot(F.col("conf_ll_sum"), F.col("posterior"))
-    weighted = F.transform("ll", lambda v: v * F.col("expr_conf"))
-
-    def change(sign: int) -> Column:
-        combine = st.add_vectors if sign > 0 else st.subtract_vectors
-        scores = combine(F.col("ll_sum"), F.col("ll"))
-        post = st.softmax(scores)
-        new_sum = F.col("conf_sum") + conf if sign > 0 else F.greatest(F.col("conf_sum") - conf, F.lit(0.0))
-        expr = w.gain * (st.softmax_max(scores) * new_sum - now * F.col("conf_sum"))
-        old = w.compatibility * (st.dot(combine(F.col("conf_ll_sum"), weighted), post) - now_old)
-        return expr + old - sign * F.col("base_penalty") + sign * w.support * 2.0 * F.col("support")
-
-    return state.withColumn("delta", F.when(F.col("is_assigned"), change(-1)).otherwise(change(1)))
+    conf = F.col("expr_conf")
+    sign = F.when(F.col("is_assigned"), F.lit(-1.0)).otherwise(F.lit(1.0))
+    conf_sum = F.greatest(F.col("conf_sum") + sign * conf, F.lit(0.0))
+    scores = F.zip_with("ll_sum", "ll", lambda s, v: s + sign * v)
+    sums = F.zip_with("conf_ll_sum", "ll", lambda s, v: s + sign * (v * conf))
+    after = st.bound(st.softmax(scores), lambda p: w.gain * F.array_max(p) * conf_sum + w.compatibility * st.dot(sums, p))
+    now = w.gain * F.array_max("posterior") * F.col("conf_sum") + w.compatibility * st.dot(F.col("conf_ll_sum"), F.col("posterior"))
+    spread = sign * w.support * 2.0 * F.col("support") - sign * F.col("base_penalty")
+    return state.withColumn("delta", after - now + spread)
 
 
 def replace_gains(adds: DataFrame, removals: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -330,31 +320,35 @@ def competitors(patch_candidates: DataFrame, radius_um: float, of: DataFrame | N
         (F.col("cell_id") != F.col("other_id")) & (F.col("_d") * F.col("_d") <= radius_um * radius_um + 1.0e-8)).select("patch_id", "barcode", "cell_id", "other_id")
 
 
-def competition_margins(scored: DataFrame, pairs: DataFrame, w: Weights, margin_weight: float, clip: float, shape: str | None = None) -> DataFrame:
+def competition_margins(scored: DataFrame, radius_um: float, w: Weights, margin_weight: float, clip: float, shape: str | None = None) -> DataFrame:
     """Margin of every legal bin over its best competitor, and the adjusted score.
 
-    Entries are the legal bins plus their competitors; z-scores run over all entries of the
-    patch through an aggregate, not a window.
+    Entries are the legal bins plus their competitors, cells with the bin within the radius.
+    Nothing is paired: a bin's best other entry is the best near one or, for that one, the
+    second best. A (patch, bin) holds at most the patch's cell cap; z-scores run over all
+    entries of the patch through an aggregate.
     """
-    base = scored.select("patch_id", "cell_id", "barcode", "gain_raw", "base_penalty", "is_legal", "add_score",
-                         *([shape] if shape else []))
-    legal_pairs = pairs.join(base.filter("is_legal").select("patch_id", "cell_id", "barcode"), ["patch_id", "cell_id", "barcode"])
-    used = base.filter("is_legal").select("patch_id", "cell_id", "barcode").union(
-        legal_pairs.select("patch_id", F.col("other_id").alias("cell_id"), "barcode")).distinct()
-    entries = base.join(used, ["patch_id", "cell_id", "barcode"])
     terms = ["gain_raw"] + ([shape] if shape else [])
+    near = F.coalesce(F.col("dist_um") * F.col("dist_um") <= radius_um * radius_um + 1.0e-8, F.lit(False))
+    base = scored.select("patch_id", "cell_id", "barcode", *terms, "base_penalty", "is_legal", "add_score", near.alias("_near"))
+    same_bin = Window.partitionBy("patch_id", "barcode")
+    legal = F.col("is_legal").cast("int")
+    entries = base.withColumn("_others", F.sum(legal).over(same_bin) - legal).filter("is_legal or (_near and _others > 0)")
     stats = entries.groupBy("patch_id").agg(*[f(c).alias(f"_{n}_{c}") for c in terms for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = lambda c: st.zscore_guarded(F.col(c), F.col(f"_m_{c}"), F.col(f"_s_{c}"), w.zscore_delta)
     score = w.gain * z("gain_raw") - F.col("base_penalty")
     if shape:
         score = score + w.shape * z(shape)
-    rated = entries.join(stats, "patch_id").select("patch_id", "cell_id", "barcode", "is_legal", "add_score", score.alias("entry_score"))
-    best = legal_pairs.join(rated.select("patch_id", F.col("cell_id").alias("other_id"), "barcode", F.col("entry_score").alias("_o")),
-                            ["patch_id", "other_id", "barcode"]).groupBy("patch_id", "cell_id", "barcode").agg(F.max("_o").alias("best_other"))
-    out = rated.filter("is_legal").join(best, ["patch_id", "cell_id", "barcode"], "left")
-    margin = F.coalesce(st.clip(F.col("entry_score") - F.col("best_other"), -clip, clip), F.lit(0.0))
-    return out.select("patch_id", "cell_id", "barcode", "add_score", margin.alias("margin"),
-                      (F.col("add_score") + margin_weight * margin).alias("adjusted_score"), st.clip(margin / 5.0, -1.0, 1.0).alias("margin_feature"))
+    rated = entries.join(stats, "patch_id").select("patch_id", "cell_id", "barcode", "is_legal", "add_score", "_near", score.alias("entry_score"))
+    best_first = same_bin.orderBy(F.desc("_near"), F.desc("entry_score"), "cell_id")
+    whole = best_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near_score = F.when(F.col("_near"), F.col("entry_score"))
+    ranked = rated.select("*", F.row_number().over(best_first).alias("_rn"), F.first(near_score).over(whole).alias("_best"),
+                          F.nth_value(near_score, 2).over(whole).alias("_second"))
+    other = F.when(F.col("_near") & (F.col("_rn") == 1), F.col("_second")).otherwise(F.col("_best"))
+    margin = F.coalesce(st.clip(F.col("entry_score") - other, -clip, clip), F.lit(0.0))
+    return ranked.filter("is_legal").select("patch_id", "cell_id", "barcode", "add_score", margin.alias("margin")).select(
+        "*", (F.col("add_score") + margin_weight * F.col("margin")).alias("adjusted_score"), st.clip(F.col("margin") / 5.0, -1.0, 1.0).alias("margin_feature"))
 
 
 @dataclass(frozen=True)

@@ -68,9 +68,12 @@ def candidate_bins(nuclei: DataFrame, bins: DataFrame, max_distance_um: float, b
     """Bins around every nucleus, optionally only in an annulus around its radius."""
     cells = nuclei.select("cell_id", "center_x_um", "center_y_um", "radius_um")
     pairs = bucket_join(cells, bins, ("center_x_um", "center_y_um"), ("x_um", "y_um"), max_distance_um)
-    if band_um is not None:
-        pairs = pairs.filter(F.abs(F.col("radius_um") - F.col("dist_um")) <= band_um)
-    return pairs
+    return pairs if band_um is None else in_band(pairs, band_um)
+
+
+def in_band(pairs: DataFrame, band_um: float) -> DataFrame:
+    """Pairs whose bin lies within ``band_um`` of the nucleus' rim."""
+    return pairs.filter(F.abs(F.col("radius_um") - F.col("dist_um")) <= band_um)
 
 
 def candidate_counts(nuclei: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -46,7 +46,8 @@ def run(pixels: DataFrame, positions: DataFrame, expression: DataFrame, sc_expre
         patch_um: float = 64.0, stride_um: float = 32.0, core_um: float = 48.0, max_patch_cells: int = 64) -> Tables:
     meta, nuc = bin_tables(pixels, positions, microns_per_pixel)
     bins = meta.select("barcode", "matrix_col_index", "array_row", "array_col", "x_um", "y_um")
-    cand = write_stage(sj.candidate_bins(nuc, bins, radius_um, band_um), "candidates")
+    discs = write_stage(sj.candidate_bins(nuc, bins, radius_um), "candidates")
+    cand = discs if band_um is None else sj.in_band(discs, band_um)
     if genes is None:
         genes = ex.gene_dictionary(expression, F.lit("Gene Expression"))
     genes = write_stage(genes, "genes")
@@ -57,6 +58,6 @@ def run(pixels: DataFrame, positions: DataFrame, expression: DataFrame, sc_expre
     counts = write_stage(ex.reference_counts(sc_expression, typed, genes), "reference_counts")
     theta = write_stage(ex.log_theta(counts, genes, types, epsilon), "theta")
     ll = ex.complete_bins(positions.select("barcode"), ex.bin_likelihoods(expression, theta, len(types)), len(types), pseudocount)
-    context = write_stage(sc.build_context(cand, meta, write_stage(ll, "bin_ll"), weights), "context")
+    context = write_stage(sc.build_context(cand, meta, write_stage(ll, "bin_ll"), weights, discs), "context")
     patches, members = pt.build_patches(nuc, patch_um, stride_um, core_um, max_cells=max_patch_cells)
     return Tables(meta, nuc, cand, context, write_stage(patches, "patches"), write_stage(members, "patch_members"), genes, types)

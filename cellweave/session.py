@@ -10,23 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
-def build_session(cores: int | str = "*", app_name: str = "cellweave", **conf: str) -> SparkSession:
-    """A session with the settings the library is tuned for; cluster masters override them."""
+def build_session(cores: int | str | None = None, app_name: str = "cellweave", **conf: str) -> SparkSession:
+    """A session with the settings the library is tuned for.
+
+    Master, memory and partition numbers are the cluster's own, except in a local session
+    of ``cores`` threads.
+    """
     settings = {
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        # small local inputs still use all cores; a cluster keeps the default
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "12g",
     }
+    builder = SparkSession.builder.appName(app_name)
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
+        # small local inputs still use all cores
+        settings |= {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB", "spark.driver.memory": "12g"}
     settings.update(conf)
-    builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -121,7 +121,7 @@ def test_likelihood_is_zero_for_empty_bins(spark):
 
 def state_of(spark, rows_df):
     marked = sc.with_support(rows_df, rows_df.filter("is_seed"), ["cell_id"])
-    return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], 3), ["cell_id"]), 3)
+    return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], 3), ["cell_id"]))
 
 
 def test_add_delta_equals_recomputed_objective(spark):
@@ -148,10 +148,10 @@ def test_unrolled_terms_equal_array_terms(spark):
 def test_competition_margin(spark):
     df = spark.createDataFrame([("p", 1, "b", 0.0, 1.0, True, -1.0, 2.0), ("p", 2, "b", 0.0, 0.0, True, 0.0, 2.0)], "patch_id string, cell_id long, barcode string, gain_raw double, base_penalty double, is_legal boolean, add_score double, dist_um double")
     w = sc.Weights()
-    near = {r.cell_id: r for r in sc.competition_margins(df, sc.competitors(df, 20.0), w, 0.25, 5.0).collect()}
+    near = {r.cell_id: r for r in sc.competition_margins(df, 20.0, w, 0.25, 5.0).collect()}
     assert near[1].adjusted_score == pytest.approx(-1.25) and near[2].adjusted_score == pytest.approx(0.25)
     assert near[1].margin_feature == pytest.approx(-0.2) and near[2].margin_feature == pytest.approx(0.2)
-    far = {r.cell_id: r.adjusted_score for r in sc.competition_margins(df, sc.competitors(df, 1.0), w, 0.25, 5.0).collect()}
+    far = {r.cell_id: r.adjusted_score for r in sc.competition_margins(df, 1.0, w, 0.25, 5.0).collect()}
     assert far == {1: -1.0, 2: 0.0}
 
 
@@ -183,3 +183,35 @@ def test_type_without_selected_genes_is_flat(spark):
     counts = spark.createDataFrame([("t1", "g1", 3)], "cell_type string, gene string, count long")
     got = {r.gene: r.log_theta for r in ex.log_theta(counts, genes, ["t1", "t2"], 1.0).collect()}
     assert all(abs(v[1] - math.log(0.5)) < 1e-12 for v in got.values()) and abs(got["g1"][0] - math.log(4 / 5)) < 1e-12
+
+
+def test_overlap_sees_centres_outside_the_band(spark):
+    from cellweave.operators import spatial_join as sj
+    discs = spark.createDataFrame([("b", 1, 10.0, 10.0), ("b", 2, 4.0, 10.0)], "barcode string, cell_id long, dist_um double, radius_um double")
+    discs = discs.withColumns({c: F.lit(0.0) for c in ("matrix_col_index", "array_row", "array_col", "x_um", "y_um", "center_x_um", "center_y_um")})
+    meta = spark.createDataFrame([("b", False, False, None)], "barcode string, has_nuclear_annotation boolean, ambiguous_nuclear_assignment boolean, dominant_cell_id long")
+    ll = spark.createDataFrame([("b", 3, [0.0], 0.5)], "barcode string, bin_total long, ll array<double>, expr_conf double")
+    row, = sc.build_context(sj.in_band(discs, 2.0), meta, ll, sc.Weights(), discs).collect()
+    assert row.cell_id == 1 and abs(row.p_overlap - 0.3) < 1e-9
+
+
+def test_margin_equals_the_pairwise_form(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(p, c, b, rnd.random(), rnd.random(), rnd.random() < 0.6, rnd.random(), rnd.choice([3.0, 9.0, 15.0, 18.0]))
+            for p in ("p1", "p2") for b in "abcdef" for c in range(1, 7) if rnd.random() < 0.7]
+    df = spark.createDataFrame(rows, "patch_id string, cell_id long, barcode string, gain_raw double, base_penalty double, is_legal boolean, add_score double, dist_um double")
+    w = sc.Weights()
+    got = {(r.patch_id, r.cell_id, r.barcode): r.margin for r in sc.competition_margins(df, 15.0, w, 0.25, 5.0).collect()}
+    want = {}
+    for p in ("p1", "p2"):
+        mine = [r for r in rows if r[0] == p]
+        used = [r for r in mine if r[5] or r[7] <= 15.0 and any(o[5] and o[2] == r[2] and o[1] != r[1] for o in mine)]
+        mean = sum(r[3] for r in used) / len(used)
+        std = (sum((r[3] - mean) ** 2 for r in used) / len(used)) ** 0.5
+        score = {(r[1], r[2]): w.gain * (r[3] - mean) / (std + w.zscore_delta) - r[4] for r in used}
+        for r in used:
+            if r[5]:
+                others = [score[o[1], o[2]] for o in used if o[2] == r[2] and o[1] != r[1] and o[7] <= 15.0]
+                want[p, r[1], r[2]] = max(-5.0, min(5.0, score[r[1], r[2]] - max(others))) if others else 0.0
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

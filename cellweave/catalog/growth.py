@@ -385,7 +385,7 @@ def _(ws):
     path = scratch(ws, "pixels")
     ws["pixels"].repartition(4).write.parquet(path)
     s = stream.file_stream(ws.spark, path, ws["pixels"].schema)
-    return stream.pixel_counts(s, grid.pixel_owner_map(ws["crop_relative"]), ws["crop_rectangle"]).drop("cell_type")
+    return stream.pixel_counts(s, grid.bins_by_bucket(ws["crop_relative"]), ws["crop_rectangle"]).drop("cell_type")
 
 
 @query("st2_streaming_step_monitor", f"select episode_id, count(*) as n_steps, {R('sum(reward)')} as total_reward, max(step_index) as last_step from step_log group by 1")

@@ -62,8 +62,7 @@ def _positions_um(ws: Workspace):
 
 @step("assigned_pixels")
 def _assigned(ws: Workspace):
-    owner = grid.pixel_owner_map(ws["crop_relative"])
-    return grid.assign_pixels(ws["pixels"], owner, ws["crop_rectangle"]).withColumn("cell_type", F.lit(None).cast("string"))
+    return grid.assign_pixels(ws["pixels"], grid.bins_by_bucket(ws["crop_relative"]), ws["crop_rectangle"]).withColumn("cell_type", F.lit(None).cast("string"))
 
 
 @step("pixel_counts", stored=True)

@@ -82,22 +82,33 @@ def pixels_inside(pixels: DataFrame, rectangle: DataFrame) -> DataFrame:
         & (F.col("y") >= 0) & (F.col("y") < F.col("crop_height_px"))).select(*pixels.columns)
 
 
-def pixel_owner_map(relative_bins: DataFrame) -> DataFrame:
-    """(x, y) -> bin_ordinal for every covered pixel; the later bin wins an overlap.
+def bins_by_bucket(relative_bins: DataFrame) -> DataFrame:
+    """(bucket_x, bucket_y) -> footprints that touch the bucket, with the bucket's ``side``.
 
-    A footprint is a handful of pixels, so the rectangle is written out and the
-    containment test becomes an equality join. A footprint that starts before the crop
-    covers nothing.
+    The side is the largest footprint, so a footprint touches at most four buckets and, on a
+    regular grid, a bucket is touched by a handful of footprints. A footprint that starts
+    before the crop covers nothing.
     """
     usable = relative_bins.filter("y_from >= 0 and x_from >= 0 and y_to > y_from and x_to > x_from")
-    cells = (usable.select("bin_ordinal", "x_from", "x_to", F.explode(F.expr("sequence(y_from, y_to - 1)")).alias("y"))
-             .select("bin_ordinal", "y", F.explode(F.expr("sequence(x_from, x_to - 1)")).alias("x")))
-    return cells.groupBy("x", "y").agg(F.max("bin_ordinal").alias("bin_ordinal"))
+    side = usable.agg(F.max(F.greatest(F.expr("x_to - x_from"), F.expr("y_to - y_from"))).cast("long").alias("side"))
+    spread = attach_scalars(usable.select("bin_ordinal", "x_from", "x_to", "y_from", "y_to"), side).withColumn(
+        "bucket_x", F.explode(F.expr("sequence(x_from div side, (x_to - 1) div side)"))).withColumn(
+        "bucket_y", F.explode(F.expr("sequence(y_from div side, (y_to - 1) div side)")))
+    return spread.groupBy("bucket_x", "bucket_y", "side").agg(
+        F.collect_list(F.struct("bin_ordinal", "x_from", "x_to", "y_from", "y_to")).alias("footprints"))
 
 
-def assign_pixels(pixels: DataFrame, owner_map: DataFrame, rectangle: DataFrame) -> DataFrame:
-    """Pixels with the bin that contains them; the map is already partitioned on (x, y)."""
-    return pixels_inside(signal_pixels(pixels), rectangle).join(owner_map, ["x", "y"])
+def assign_pixels(pixels: DataFrame, buckets: DataFrame, rectangle: DataFrame) -> DataFrame:
+    """Pixels with the bin that contains them; the later bin wins an overlap.
+
+    A pixel lies in one bucket, so it meets that bucket's footprints by an equality join.
+    """
+    inside = attach_scalars(pixels_inside(signal_pixels(pixels), rectangle), buckets.agg(F.max("side").alias("_side")))
+    placed = inside.withColumns({"bucket_x": F.expr("x div _side"), "bucket_y": F.expr("y div _side")})
+    met = placed.join(buckets.drop("side"), ["bucket_x", "bucket_y"])
+    covers = F.filter("footprints", lambda b: (b["x_from"] <= F.col("x")) & (F.col("x") < b["x_to"]) & (b["y_from"] <= F.col("y")) & (F.col("y") < b["y_to"]))
+    owner = F.array_max(F.transform(covers, lambda b: b["bin_ordinal"]))
+    return met.withColumn("bin_ordinal", owner).filter("bin_ordinal is not null").select(*pixels.columns, "bin_ordinal")
 
 
 def to_microns(positions: DataFrame, microns_per_pixel: float) -> DataFrame:

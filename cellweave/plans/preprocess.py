@@ -30,10 +30,10 @@ def bin_tables(pixels: DataFrame, positions: DataFrame, microns_per_pixel: float
     require_columns(positions, [f.name for f in TISSUE_POSITIONS] + ["bin_ordinal"], "tissue positions")
     cropped = write_stage(grid.crop_bins(grid.bin_footprints(positions)), "crop_bins")
     rect = write_stage(grid.crop_rectangle(cropped), "crop_rectangle")
-    owner = grid.pixel_owner_map(grid.crop_relative(cropped, rect))
+    buckets = grid.bins_by_bucket(grid.crop_relative(cropped, rect))
     typed = pixels if "cell_type" in pixels.columns else pixels.withColumn("cell_type", F.lit(None).cast("string"))
     um = grid.to_microns(positions, microns_per_pixel)
-    counts = write_stage(claims.with_bin_metadata(claims.pixel_counts(grid.assign_pixels(typed, owner, rect)), um), "pixel_counts")
+    counts = write_stage(claims.with_bin_metadata(claims.pixel_counts(grid.assign_pixels(typed, buckets, rect)), um), "pixel_counts")
     nuclear = claims.filter_claims(claims.split_compartments(counts), nuclear_only=True)
     meta = claims.bin_metadata(ex.ordered_barcodes(positions, "bin_ordinal"), um.drop("bin_ordinal"), claims.claims_by_barcode(nuclear))
     table = nu.nuclei_table(nu.nucleus_moments(pixels), rect, microns_per_pixel)

@@ -44,14 +44,14 @@ def nucleus_moments(stream: DataFrame) -> DataFrame:
                                     *[f(c).alias(c) for f, c in ((F.min, "min_x"), (F.max, "max_x"), (F.min, "min_y"), (F.max, "max_y"))])
 
 
-def pixel_counts(stream: DataFrame, owner_map: DataFrame, rectangle: DataFrame) -> DataFrame:
+def pixel_counts(stream: DataFrame, buckets: DataFrame, rectangle: DataFrame) -> DataFrame:
     """Same rows as the batch pixel counts per (bin, cell, type)."""
     from ..operators.claims import pixel_counts as reduce
     from ..operators.grid import assign_pixels
 
     def one(batch: DataFrame) -> DataFrame:
         typed = batch if "cell_type" in batch.columns else batch.withColumn("cell_type", F.lit(None).cast("string"))
-        return reduce(assign_pixels(typed, owner_map, rectangle))
+        return reduce(assign_pixels(typed, buckets, rectangle))
 
     p = partials(stream, one, "pixels")
     return p.groupBy("bin_ordinal", "cell_id", "cell_type").agg(*[F.sum(c).alias(c) for c in (*COUNTS, "total_compartment_pixels")])

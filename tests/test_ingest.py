@@ -25,7 +25,7 @@ def test_four_nuclear_pixels_fill_two_bins(spark):
     rect = grid.crop_rectangle(cropped)
     rel = grid.crop_relative(cropped, rect)
     px = pixels(spark, [(x, 0, 7, 0, 1, 1, 0) for x in range(4)])
-    assigned = grid.assign_pixels(px, grid.pixel_owner_map(rel), rect).withColumn("cell_type", F.lit(None).cast("string"))
+    assigned = grid.assign_pixels(px, grid.bins_by_bucket(rel), rect).withColumn("cell_type", F.lit(None).cast("string"))
     counts = claims.with_bin_metadata(claims.pixel_counts(assigned), grid.to_microns(positions(spark), 1.0))
     rows = claims.split_compartments(counts).collect()
     assert len({x.barcode for x in rows}) == 2
@@ -35,7 +35,11 @@ def test_four_nuclear_pixels_fill_two_bins(spark):
 
 def test_later_bin_wins_overlapping_footprints(spark):
     rel = spark.createDataFrame([(0, 0, 2, 0, 2), (1, 0, 2, 1, 3), (2, -1, 1, 0, 1)], "bin_ordinal long, y_from int, y_to int, x_from int, x_to int")
-    owner = {(r.x, r.y): r.bin_ordinal for r in grid.pixel_owner_map(rel).collect()}
+    rect = spark.createDataFrame([(5, 5)], "crop_width_px int, crop_height_px int")
+    px = pixels(spark, [(x, y, 7, 0, 1, 1, 0) for x in range(5) for y in range(5)] + [(0, 0, 8, 0, 1, 1, 0)])
+    rows = grid.assign_pixels(px, grid.bins_by_bucket(rel), rect).collect()
+    owner = {(r.x, r.y): r.bin_ordinal for r in rows}
+    assert len(rows) == 7 and len(owner) == 6
     assert owner[(0, 0)] == 0 and owner[(1, 0)] == 1 and owner[(2, 1)] == 1
     assert 2 not in owner.values()
 

@@ -130,6 +130,20 @@ def fill_target(ws):
     return gr.fill_target(placed, box)
 
 
+@query("g18_patch_objective_bins", f"""
+with recursive w as (select patch_id, cell_id, barcode, array_row, array_col from inbox where is_seed
+ union select i.patch_id, i.cell_id, i.barcode, i.array_row, i.array_col from w join inbox i on i.patch_id = w.patch_id and i.cell_id = w.cell_id and abs(i.array_row - w.array_row) <= 1 and abs(i.array_col - w.array_col) <= 1),
+f as (select w.patch_id, count(distinct w.barcode) as n from w join inbox i using (patch_id, cell_id, barcode) where i.bin_total > 0 group by 1),
+t as (select patch_id, sum(objective) as total from pmem join objective using (cell_id) where role = 'core' group by 1)
+select patch_id, {R('total/greatest(coalesce(f.n, 0), 1)')} as mean_score, {R('total/sqrt(greatest(coalesce(f.n, 0), 1))')} as sqrt_score from t left join f using (patch_id)""")
+def _(ws):
+    objectives = sc.cell_objective(ws["state"].dropDuplicates(["cell_id"]), ["cell_id"], steps.WEIGHTS)
+    core = ws["patch_members"].filter("role = 'core'")
+    n_fill = fill_target(ws).groupBy("patch_id").agg(F.count("*").alias("n_fill"))
+    score = lambda mode, name: sc.patch_objective(objectives, core, mode, n_fill).select("patch_id", r("patch_score").alias(name))
+    return score("mean_expression_bins", "mean_score").join(score("sqrt_expression_bins", "sqrt_score"), "patch_id")
+
+
 @query("g20_fill_progress", """
 with recursive w as (select patch_id, cell_id, barcode, array_row, array_col from inbox where is_seed
  union select i.patch_id, i.cell_id, i.barcode, i.array_row, i.array_col from w join inbox i on i.patch_id = w.patch_id and i.cell_id = w.cell_id and abs(i.array_row - w.array_row) <= 1 and abs(i.array_col - w.array_col) <= 1),

@@ -327,22 +327,38 @@ def _(ws):
     return sc.competitors(ws["patch_scored"], 15.0, of=ws["patch_scored"].filter("is_legal"))
 
 
-_MARGIN_SQL = f"""
+def margin_sql(shape: str = "") -> str:
+    """SQL of the margins; ``shape`` names a table of (cell_id, barcode, shape_raw), absent bins count as 0."""
+    value = "coalesce(h.shape_raw, 0.0e0)" if shape else "0.0e0"
+    join = f"left join {shape} h on h.cell_id = s.cell_id and h.barcode = s.barcode" if shape else ""
+    weight = "0.25e0" if shape else "0.0e0"
+    return f"""
 with lp as (select p.* from pcomp p join psco s on s.patch_id = p.patch_id and s.cell_id = p.cell_id and s.barcode = p.barcode where s.is_legal),
 used as (select patch_id, cell_id, barcode from psco where is_legal union select patch_id, other_id, barcode from lp),
-ent as (select s.patch_id, s.cell_id, s.barcode, s.is_legal, s.add_score, s.base_penalty, s.gain_raw, avg(gain_raw) over (partition by s.patch_id) as m, stddev_pop(gain_raw) over (partition by s.patch_id) as sd from psco s join used using (patch_id, cell_id, barcode)),
-rated as (select *, 0.45e0*(case when sd <= 1.0e-8 then 0.0e0 else (gain_raw - m)/(sd + 1.0e-8) end) - base_penalty as score from ent),
+ent as (select s.patch_id, s.cell_id, s.barcode, s.is_legal, s.add_score, s.base_penalty, s.gain_raw, avg(gain_raw) over (partition by s.patch_id) as m, stddev_pop(gain_raw) over (partition by s.patch_id) as sd,
+ {value} as sh, avg({value}) over (partition by s.patch_id) as hm, stddev_pop({value}) over (partition by s.patch_id) as hd
+ from psco s join used u on u.patch_id = s.patch_id and u.cell_id = s.cell_id and u.barcode = s.barcode {join}),
+rated as (select *, 0.45e0*(case when sd <= 1.0e-8 then 0.0e0 else (gain_raw - m)/(sd + 1.0e-8) end) - base_penalty
+ + {weight}*(case when hd <= 1.0e-8 then 0.0e0 else (sh - hm)/(hd + 1.0e-8) end) as score from ent),
 best as (select l.patch_id, l.cell_id, l.barcode, max(r.score) as o from lp l join rated r on r.patch_id = l.patch_id and r.cell_id = l.other_id and r.barcode = l.barcode group by 1, 2, 3),
 fin as (select r.patch_id, r.cell_id, r.barcode, r.add_score, case when b.o is null then 0.0e0 else least(greatest(r.score - b.o, -5.0e0), 5.0e0) end as margin from rated r left join best b using (patch_id, cell_id, barcode) where r.is_legal)
 select patch_id, cell_id, barcode, {R('margin', Z)} as margin, {R('add_score + 0.25e0*margin', Z)} as adjusted_score, {R('least(greatest(margin/5.0e0, -1.0e0), 1.0e0)', Z)} as margin_feature from fin"""
 
 
-@query("g17_competition_margin", _MARGIN_SQL)
+@query("g17_competition_margin", margin_sql())
 def _(ws):
     out = sc.competition_margins(ws["patch_scored"], 15.0, W, 0.25, 5.0)
     return out.select("patch_id", "cell_id", "barcode", *rs("margin", "adjusted_score", "margin_feature", digits=Z))
 
 
+@query("g17_competition_margin_with_shape", margin_sql("shape_deltas"))
+def _(ws):
+    shape = ws["shape_terms"].select("cell_id", "barcode", "shape_raw")
+    entries = ws["patch_scored"].join(shape, ["cell_id", "barcode"], "left").fillna(0.0, ["shape_raw"])
+    out = sc.competition_margins(entries, 15.0, W, 0.25, 5.0, shape="shape_raw")
+    return out.select("patch_id", "cell_id", "barcode", *rs("margin", "adjusted_score", "margin_feature", digits=Z))
+
+
 _EV = ("frontier_quality", "overgrowth_risk", "stop_evidence", "episode_score")
 
 

@@ -276,9 +276,55 @@ def _(ws):
     return ws["shape_terms"].select("cell_id", "barcode", *rs("shape_raw", "shape_term", digits=3))
 
 
-@query("g9_add_score_with_shape", f"""
-select s.cell_id, s.barcode, {R('add_score + 0.25e0*coalesce(t.shape_term, 0.0e0)', 3)} as add_score from sco s left join shape_terms t on t.cell_id = s.cell_id and t.barcode = s.barcode""")
+cte("sco_shape", """
+select s.*, coalesce(t.shape_raw, 0.0e0) as shape_raw, coalesce(t.shape_term, 0.0e0) as shape_term, s.add_score + 0.25e0*coalesce(t.shape_term, 0.0e0) as shaped_score
+from sco s left join shape_terms t on t.cell_id = s.cell_id and t.barcode = s.barcode""")
+
+
+@step("scored_shape")
+def _scored_shape(ws):
+    terms = ws["shape_terms"].select("cell_id", "barcode", "shape_raw", "shape_term")
+    state = ws["scored"].drop("gain_term", "compat_term", "add_score").join(terms, ["cell_id", "barcode"], "left").fillna(0.0, ["shape_raw", "shape_term"])
+    return sc.add_scores(state, ["cell_id"], steps.WEIGHTS, "is_frontier", shape="shape_term")
+
+
+@query("g9_add_score_with_shape", f"select cell_id, barcode, {R('shaped_score', 3)} as add_score from sco_shape")
+def _(ws):
+    return ws["scored_shape"].select("cell_id", "barcode", *rs("add_score", digits=3))
+
+
+@query("g18_cell_objective_with_shape", f"""
+select o.cell_id, {R('o.objective + coalesce(0.25e0*p.reward, 0.0e0)', 3)} as objective from objective o left join point_rewards p on p.cell_id = o.cell_id and p.barcode = 'now'""")
+def _(ws):
+    now = sh.current_shape_rewards(ws["seed_states"], ws["raw_model"], sh.scaler(ws["shape_features"]), ["cell_id"])
+    cells = ws["state"].dropDuplicates(["cell_id"]).join(now, "cell_id", "left").fillna(0.0, ["shape_reward"])
+    return sc.cell_objective(cells, ["cell_id"], steps.WEIGHTS, shape="shape_reward").select("cell_id", *rs("objective", digits=3))
+
+
+@query("g21_evidence_with_shape", f"""
+with top as (select cell_id, avg(shaped_score) filter (a <= 5) as frontier_topk, avg(shape_term) filter (b <= 5) as shape_topk from (
+ select cell_id, shaped_score, shape_term, row_number() over (partition by cell_id order by shaped_score desc) as a, row_number() over (partition by cell_id order by shape_term desc) as b from sco_shape where is_frontier) q group by 1),
+q as (select s.cell_id, s.grow_ratio, s.compactness, case when s.n_frontier > 0 then 1.0e0/(1.0e0 + exp(-least(greatest(top.frontier_topk/0.2e0, -60.0e0), 60.0e0))) else 0.0e0 end as frontier_quality,
+ tanh(coalesce(top.shape_topk, 0.0e0)) as shape_quality from summ s left join top using (cell_id)),
+e as (select q.*, grow_ratio*(1.0e0 - frontier_quality) as overgrowth_risk, l.mean_step_reward, l.stopped from q join (
+ select cell_id, avg(reward) as mean_step_reward, bool_or(action = 'stop' and done) as stopped from step_log group by 1) l using (cell_id)),
+s as (select *, case when stopped then 1.0e0 - 2.0e0*frontier_quality + overgrowth_risk else frontier_quality - overgrowth_risk end as stop_evidence from e)
+select cell_id, {RS('frontier_quality', 'overgrowth_risk', 'shape_quality', 'stop_evidence', digits=3)},
+ {R('mean_step_reward + 0.7e0*frontier_quality + 0.5e0*stop_evidence - 0.8e0*overgrowth_risk + 0.25e0*compactness + 0.25e0*shape_quality', 3)} as episode_score from s""")
+def _(ws):
+    log = ws["step_log"].groupBy("cell_id").agg(F.avg("reward").alias("mean_step_reward"), F.bool_or((F.col("action") == "stop") & F.col("done")).alias("stopped"))
+    e, w = sc.EvidenceWeights(), steps.WEIGHTS
+    states = sc.state_summary(ws["scored_shape"], ws["ll_features"], ["cell_id"], w, "is_frontier").join(
+        sc.top_k_mean(ws["scored_shape"], ["cell_id"], "is_frontier", "shape_term", w.stop_top_k, "shape_topk"), "cell_id")
+    out = sc.episode_scores(sc.evidence(states, e, "shape_topk").join(log, "cell_id"), e)
+    return out.select("cell_id", *rs("frontier_quality", "overgrowth_risk", "shape_quality", "stop_evidence", "episode_score", digits=3))
+
+
+@query("g24_breakdown_with_shape", f"""
+select cell_id, barcode, row_number() over (partition by cell_id order by matrix_col_index) - 1 as bin_index, {RS('x_um', 'y_um')}, is_assigned, is_frontier,
+ {R('shaped_score', 3)} as add_score, {RS('shape_raw', 'shape_term', digits=3)}, {R('0.25e0*shape_term', 3)} as shape_weighted from sco_shape""")
 def _(ws):
-    terms = ws["shape_terms"].select("cell_id", "barcode", "shape_term")
-    state = ws["scored"].drop("gain_term", "compat_term", "add_score").join(terms, ["cell_id", "barcode"], "left").fillna(0.0, ["shape_term"])
-    return sc.add_scores(state, ["cell_id"], steps.WEIGHTS, "is_frontier", shape="shape_term").select("cell_id", "barcode", *rs("add_score", digits=3))
+    from ..operators.growth import score_breakdown
+    return score_breakdown(ws["scored_shape"], steps.WEIGHTS, "shape_term").select(
+        "cell_id", "barcode", F.col("bin_index").cast("long").alias("bin_index"), *rs("x_um", "y_um"), "is_assigned", "is_frontier",
+        *rs("add_score", "shape_raw", "shape_term", "shape_weighted", digits=3))

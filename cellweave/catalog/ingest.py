@@ -50,6 +50,21 @@ def _(ws):
     return quality_report(ws["pixels"], ["cell_id"], ["x", "y"], ["cell_id"])
 
 
+@query("p1_mixed_report", """
+with t as (select nullif(o_custkey % 7, 0) as k, case when o_orderkey % 11 = 0 then 'n/a' when o_orderkey % 13 = 0 then 'Infinity' when o_orderkey % 17 <> 0 then cast(cast(o_orderkey as double) - 5000.0e0 as varchar) end as v from orders)
+select 'null:k' as check_name, count(*) filter (k is null) as n_bad from t union all select 'null:v', count(*) filter (v is null) from t
+union all select 'non_numeric:v', count(*) filter (v is not null and try_cast(v as double) is null) from t
+union all select 'non_finite:v', count(*) filter (isinf(try_cast(v as double)) or isnan(try_cast(v as double))) from t
+union all select 'non_positive:k', count(*) filter (not k > 0) from t
+union all select 'duplicate:k', count(k) - count(distinct k) from t""")
+def _(ws):
+    from ..schema import quality_report
+    number = F.when(F.expr("o_orderkey % 11 = 0"), "n/a").when(F.expr("o_orderkey % 13 = 0"), "Infinity").when(
+        F.expr("o_orderkey % 17 <> 0"), (F.col("o_orderkey").cast("double") - 5000.0).cast("string"))
+    t = ws["orders"].select(F.expr("nullif(o_custkey % 7, 0)").alias("k"), number.alias("v"))
+    return quality_report(t, ["k"], ["v"], ["k"])
+
+
 @query("p2_signal_pixels", "select x, y, cell_id from pixels where is_nuclear > 0 or is_cytoplasm > 0 or is_boundary > 0")
 def _(ws):
     return grid.signal_pixels(ws["pixels"]).select("x", "y", "cell_id")
@@ -121,6 +136,17 @@ def _(ws):
     return ws["pixel_counts"].select("barcode", "cell_id", "array_row", "array_col", "in_tissue", *rs("x_um", "y_um"))
 
 
+@query("j2_repeated_keys", "select barcode, count(*) as n_rows from pixel_counts group by 1 having count(*) > 1")
+def _(ws):
+    from ..schema import duplicate_keys
+    return duplicate_keys(ws["pixel_counts"], ["barcode"])
+
+
+@query("j3_barcodes_without_position", "select distinct barcode from expression where barcode not in (select barcode from tissue_positions where in_tissue = 1)")
+def _(ws):
+    return claims.barcodes_without_position(ws["expression"].select("barcode").distinct(), ws["tissue_positions"].filter("in_tissue = 1"))
+
+
 @query("a1_compartment_counts", """
 select barcode, cell_id, cell_type, nuclear_pixel_count, cytoplasm_pixel_count, boundary_pixel_count, interior_pixel_count, total_compartment_pixels from pixel_counts""")
 def _(ws):

@@ -195,6 +195,28 @@ def _(ws):
     return sh.kmeans_clusters(m, 6, n_init=3).groupBy("shape_cluster").agg(F.count("*").alias("n_cells"))
 
 
+# labels moved to corners far apart, so that the right partition and number are known
+_CORNERS = ", ".join(f"0.01e0*{n} + 100.0e0*(cast(floor(code/{2 ** i}) as int) % 2)" for i, n in enumerate(("feature_log_area", "feature_compactness", "feature_solidity", "feature_anisotropy")))
+
+
+def separated(ws):
+    codes = ordinal(ws["shape_table"].select("cell_type").distinct(), ["cell_type"], "code")
+    return ws["shape_table"].join(codes, "cell_type").selectExpr("cell_id", f"array({_CORNERS}) as z")
+
+
+@query("a35_separated_partition", "select cell_id, min(cell_id) over (partition by cell_type) as first_id from shape_table")
+def _(ws):
+    k = ws["shape_table"].select("cell_type").distinct().count()
+    found = sh.kmeans_clusters(separated(ws), k).select("cell_id", "shape_cluster")
+    first = found.groupBy("shape_cluster").agg(F.min("cell_id").alias("first_id"))
+    return found.join(first, "shape_cluster").select("cell_id", "first_id")
+
+
+@query("a36_separated_choice", "select cast(count(distinct cell_type) as int) as n_clusters from shape_table")
+def _(ws):
+    return sh.choose_k(separated(ws), range(2, 15)).filter("rank = 1").select("n_clusters")
+
+
 @query("a36_choose_cluster_number")
 def _(ws):
     return sh.choose_k(sh.feature_matrix(ws["shape_table"], ["cell_id"]), range(2, 9))

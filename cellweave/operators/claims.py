@@ -85,6 +85,19 @@ def barcodes_without_position(barcodes: DataFrame, positions: DataFrame) -> Data
     return barcodes.join(positions, "barcode", "left_anti")
 
 
+def check_positions(barcodes: DataFrame, positions: DataFrame) -> None:
+    """Raise when a barcode has no position."""
+    bad = barcodes_without_position(barcodes.select("barcode"), positions).limit(1).collect()
+    if bad:
+        raise ValueError(f"no position for barcode {bad[0].barcode!r}")
+
+
+def check_overlap(labels: DataFrame, bins: DataFrame, name: str) -> None:
+    """Raise when no labelled barcode is among the bins."""
+    if labels.select("barcode").join(bins.select("barcode"), "barcode", "left_semi").isEmpty():
+        raise ValueError(f"{name} has no barcode in common with the bins")
+
+
 def with_column_index(claims: DataFrame, metadata: DataFrame) -> DataFrame:
     return claims.join(metadata.select("barcode", "matrix_col_index"), "barcode")
 
@@ -116,7 +129,8 @@ def dense_label_codes(labels: DataFrame, column: str = "cell_id") -> DataFrame:
 
 
 def inject_labels(bins: DataFrame, labels: DataFrame, codes: DataFrame) -> DataFrame:
-    """Every bin with its nuclear label code, 0 where it has none."""
+    """Every bin with its nuclear label code, 0 where it has none; labels that meet no bin are an error."""
+    check_overlap(labels, bins, "external labels")
     coded = labels.join(codes, "cell_id").select("barcode", "label_id")
     return bins.join(coded, "barcode", "left").withColumn("label_id", F.coalesce("label_id", F.lit(0)))
 

@@ -134,3 +134,13 @@ def test_quality_report_tells_nulls_duplicates_and_text_apart(spark):
     got = {r.check_name: r.n_bad for r in quality_report(df, ["k"], ["v"]).collect()}
     assert got == {"null:k": 2, "null:v": 1, "non_numeric:v": 1, "non_finite:v": 1, "duplicate:k": 1}
     assert {r.check_name: r.n_bad for r in quality_report(df, ["k"], ["k"]).collect()}["null:k"] == 2
+
+
+def test_bad_load_stops(spark):
+    where = spark.createDataFrame([("a",), ("b",)], "barcode string")
+    with pytest.raises(ValueError, match="no position"):
+        claims.check_positions(spark.createDataFrame([("a",), ("z",)], "barcode string"), where)
+    claims.check_positions(where, where)
+    labels = spark.createDataFrame([("z", "1")], "barcode string, cell_id string")
+    with pytest.raises(ValueError, match="in common"):
+        claims.inject_labels(where, labels, claims.dense_label_codes(labels))

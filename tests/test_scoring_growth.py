@@ -215,3 +215,13 @@ def test_margin_equals_the_pairwise_form(spark):
                 others = [score[o[1], o[2]] for o in used if o[2] == r[2] and o[1] != r[1] and o[7] <= 15.0]
                 want[p, r[1], r[2]] = max(-5.0, min(5.0, score[r[1], r[2]] - max(others))) if others else 0.0
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_shape_term_moves_margins(spark):
+    rows = [("p", 1, "b", 0.0, 0.0, True, 1.0, 1.0, 2.0), ("p", 2, "b", 0.0, 0.0, True, 1.0, 1.0, 0.0)]
+    scored = spark.createDataFrame(rows, "patch_id string, cell_id long, barcode string, gain_raw double, base_penalty double, is_legal boolean, add_score double, dist_um double, shape double")
+    w = sc.Weights()
+    plain = {r.cell_id: r.margin for r in sc.competition_margins(scored, 15.0, w, 0.25, 5.0).collect()}
+    shaped = {r.cell_id: r.margin for r in sc.competition_margins(scored, 15.0, w, 0.25, 5.0, shape="shape").collect()}
+    assert plain == {1: 0.0, 2: 0.0}
+    assert shaped[1] == pytest.approx(2 * w.shape) and shaped[2] == pytest.approx(-2 * w.shape)

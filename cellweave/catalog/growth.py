@@ -204,6 +204,25 @@ def _(ws):
     return ex.transcriptomic_scores(ws["context"], ws["expression"], ws["patch_members"], 10000.0, 0.1, 2.0).select("patch_id", "cell_id", "barcode", *rs("score", digits=5))
 
 
+@query("a34_component_distance_score", f"""
+with pl as (select m.patch_id, c.cell_id, c.barcode, c.is_seed from pmem m join ctx c using (cell_id)), sz as (select patch_id, count(*) as n from pl group by 1),
+sq as (select patch_id, gene, cast(sum(cnt) as double) as s, cast(sum(cnt*cnt) as double) as q from pl join expression using (barcode) group by 1, 2),
+tg as (select patch_id, gene from (select patch_id, gene, row_number() over (partition by patch_id order by greatest(q/n - (s/n)*(s/n), 0.0e0) desc, gene) as rn from sq join sz using (patch_id)) z where rn <= 20),
+ub as (select distinct patch_id, barcode from pl), be as (select u.patch_id, u.barcode, e.gene, cast(e.cnt as double) as c from ub u join expression e using (barcode) join tg on tg.patch_id = u.patch_id and tg.gene = e.gene),
+bv as (select patch_id, barcode, gene, ln(1.0e0 + c*(10000.0e0/sum(c) over (partition by patch_id, barcode))) as v from be),
+cs as (select patch_id, cell_id, count(*) filter (is_seed) as ns, count(*) as n from pl group by 1, 2),
+cm as (select p.patch_id, p.cell_id, b.gene, sum(b.c)/max(case when ns > 0 then ns else n end) as c from pl p join cs using (patch_id, cell_id) join be b on b.patch_id = p.patch_id and b.barcode = p.barcode where is_seed or ns = 0 group by 1, 2, 3),
+cv as (select patch_id, cell_id, gene, ln(1.0e0 + c*(10000.0e0/sum(c) over (partition by patch_id, cell_id))) as v from cm),
+d as (select p.patch_id, p.cell_id, p.barcode, sum((coalesce(b.v, 0.0e0) - coalesce(c.v, 0.0e0))*(coalesce(b.v, 0.0e0) - coalesce(c.v, 0.0e0))) as t from pl p join tg g using (patch_id)
+ left join bv b on b.patch_id = p.patch_id and b.barcode = p.barcode and b.gene = g.gene left join cv c on c.patch_id = p.patch_id and c.cell_id = p.cell_id and c.gene = g.gene group by 1, 2, 3),
+l as (select d.patch_id, d.cell_id, d.barcode, ln(greatest(d.t, 1.0e-8)) as lt, s.d from d join sdist s using (cell_id, barcode)), z as (select patch_id, min(lt) as lo, max(lt) as hi from l group by 1)
+select patch_id, cell_id, barcode, {R('-((lt - lo)/greatest(hi - lo, 1.0e-8) + 0.1e0*d)', 5)} as score from l join z using (patch_id)""")
+def _(ws):
+    # 20 genes have at most 20 components, so that the 50 leading ones are all of them
+    out = ex.component_scores(ws["context"], ws["expression"], ws["patch_members"], 20, 50, 10000.0, 0.1, 2.0)
+    return out.select("patch_id", "cell_id", "barcode", *rs("score", digits=5))
+
+
 cte("top_genes", """
 select gene from (select gene, greatest(q/n - (s/n)*(s/n), 0.0e0) as v from (select gene, sum(cast(cnt as double)) as s, sum(cast(cnt as double)*cnt) as q from expression group by 1) a, (select count(*) as n from tissue_positions) b) z order by v desc, gene limit 20""")
 
@@ -220,6 +239,20 @@ def _(ws):
     return scores.agg(F.count("*").alias("n_rows"), r(F.sum(energy), 3).alias("total_energy"))
 
 
+@query("a33_first_component", f"""
+with top as (select gene from (select gene, greatest(q/n - (s/n)*(s/n), 0.0e0) as v from (select gene, sum(cast(cnt as double)) as s, sum(cast(cnt as double)*cnt) as q from expression group by 1) a, (select count(*) as n from tissue_positions) b) z order by v desc, gene limit 2),
+v as (select nl.barcode, nl.v, gene = (select min(gene) from top) as is_first from nl where gene in (select gene from top)),
+b as (select barcode, coalesce(sum(v) filter (is_first), 0.0e0) as x, coalesce(sum(v) filter (not is_first), 0.0e0) as y from v group by 1),
+m as (select count(*) as n, var_pop(x) as xx, var_pop(y) as yy, covar_pop(x, y) as xy from b)
+select n as n_rows, {R('n*(xx + yy + sqrt((xx - yy)*(xx - yy) + 4.0e0*xy*xy))/2.0e0', 3)} as first_energy from m""")
+def _(ws):
+    # of two genes, the leading component's variance is known in closed form
+    values = ex.normalize_log1p(ws["expression"], 10000.0)
+    top = ex.top_variance_genes(ws["expression"], ws["tissue_positions"].agg(F.count("*").alias("n")), 2)
+    scores, _ = ex.pca_scores(values, top, 1)
+    return scores.agg(F.count("*").alias("n_rows"), r(F.sum(F.col("pc")[0] * F.col("pc")[0]), 3).alias("first_energy"))
+
+
 @query("f1_custom_score_growth")
 def _(ws):
     """Growth with another score function: nearest bins first, up to half the disc."""

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordered import ordinal, running
@@ -271,6 +273,21 @@ def pca_scores(values: DataFrame, genes: DataFrame, n_components: int) -> tuple[
     return model.transform(centred).select("barcode", vector_to_array("s").alias("pc")), [float(v) for v in model.explainedVariance]
 
 
+def seed_distance(context: DataFrame, pitch_um: float) -> DataFrame:
+    """Distance of every candidate bin to its cell's closest seed, in bins; a cell's seeds fit one disc."""
+    seeds = context.filter("is_seed").groupBy("cell_id").agg(F.collect_list(F.struct("x_um", "y_um")).alias("_seeds"))
+    near = F.array_min(F.transform("_seeds", lambda s: F.sqrt((F.col("x_um") - s["x_um"]) * (F.col("x_um") - s["x_um"]) + (F.col("y_um") - s["y_um"]) * (F.col("y_um") - s["y_um"]))))
+    return context.select("cell_id", "barcode", "x_um", "y_um", "dist_um").join(seeds, "cell_id", "left").select(
+        "cell_id", "barcode", (F.coalesce(near, F.col("dist_um")) / pitch_um).alias("_space"))
+
+
+def patch_scaled(placed: DataFrame, weight: float, eps: float) -> DataFrame:
+    """Score from the log distance ``_t``, min-max scaled per patch, and the spatial distance ``_space``."""
+    span = placed.groupBy("patch_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    scaled = (F.col("_t") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(eps))
+    return placed.join(span, "patch_id").select("patch_id", "cell_id", "barcode", (-(scaled + weight * F.col("_space"))).alias("score"))
+
+
 def transcriptomic_scores(context: DataFrame, expression: DataFrame, members: DataFrame, target_sum: float, weight: float, pitch_um: float,
                           eps: float = 1.0e-8) -> DataFrame:
     """Distance score of every candidate bin to its cell's seed profile, min-max scaled per patch.
@@ -285,14 +302,77 @@ def transcriptomic_scores(context: DataFrame, expression: DataFrame, members: Da
     sq = lambda df, key, out: df.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias(out))
     cross = context.select("cell_id", "barcode").join(bins, "barcode").join(
         cells.select("cell_id", "gene", F.col("value").alias("_v")), ["cell_id", "gene"]).groupBy("cell_id", "barcode").agg(F.sum(F.col("value") * F.col("_v")).alias("_ab"))
-    seeds = context.filter("is_seed").groupBy("cell_id").agg(F.collect_list(F.struct("x_um", "y_um")).alias("_seeds"))
-    near = F.array_min(F.transform("_seeds", lambda s: F.sqrt((F.col("x_um") - s["x_um"]) * (F.col("x_um") - s["x_um"]) + (F.col("y_um") - s["y_um"]) * (F.col("y_um") - s["y_um"]))))
-    base = context.select("cell_id", "barcode", "x_um", "y_um", "dist_um").join(seeds, "cell_id", "left").select(
-        "cell_id", "barcode", (F.coalesce(near, F.col("dist_um")) / pitch_um).alias("_space"))
+    base = seed_distance(context, pitch_um)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     dist = base.join(sq(bins, "barcode", "_a"), "barcode", "left").join(sq(cells, "cell_id", "_b"), "cell_id", "left").join(cross, ["cell_id", "barcode"], "left").select(
         "cell_id", "barcode", "_space", F.log(F.greatest(zero("_a") + zero("_b") - 2.0 * zero("_ab"), F.lit(eps))).alias("_t"))
-    placed = members.select("patch_id", "cell_id").join(dist, "cell_id")
-    span = placed.groupBy("patch_id").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    scaled = (F.col("_t") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(eps))
-    return placed.join(span, "patch_id").select("patch_id", "cell_id", "barcode", (-(scaled + weight * F.col("_space"))).alias("score"))
+    return patch_scaled(members.select("patch_id", "cell_id").join(dist, "cell_id"), weight, eps)
+
+
+def patch_top_genes(placed: DataFrame, expression: DataFrame, n_top_genes: int) -> DataFrame:
+    """The genes of largest variance over a patch's candidate rows; rows without a gene count as zero."""
+    sizes = placed.groupBy("patch_id").agg(F.count("*").alias("_n"))
+    held = placed.groupBy("patch_id", "barcode").agg(F.count("*").alias("_w"))
+    sums = held.join(expression, "barcode").groupBy("patch_id", "gene").agg(
+        F.sum(F.col("_w") * F.col("cnt")).cast("double").alias("_s"), F.sum(F.col("_w") * F.col("cnt") * F.col("cnt")).cast("double").alias("_q"))
+    n = F.col("_n")
+    var = sums.join(sizes, "patch_id").withColumn("_v", F.greatest(F.col("_q") / n - (F.col("_s") / n) * (F.col("_s") / n), F.lit(0.0)))
+    w = Window.partitionBy("patch_id").orderBy(F.desc("_v"), "gene")
+    return var.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n_top_genes).select("patch_id", "gene")
+
+
+def component_distances(units: pd.DataFrame, n_pcs: int) -> pd.DataFrame:
+    """Squared distances of one patch's bins to the profiles of the cells that hold them, in its leading components.
+
+    A unit is a bin, with the cells that hold it, or a cell's profile. Components are those
+    of all rows (a bin once for every cell that holds it), which a bin's weight stands for.
+    """
+    n_genes = 1 + max((int(max(c)) for c in units["codes"] if len(c)), default=0)
+    x = np.zeros((len(units), n_genes))
+    for i, (codes, values) in enumerate(zip(units["codes"], units["logs"])):
+        x[i, np.asarray(codes, dtype=np.int64)] = values
+    holders = [list(h) for h in units["cells"]]
+    is_bin = units["barcode"].notna().to_numpy()
+    weight = np.where(is_bin, [len(h) for h in holders], 1.0)
+    x -= weight @ x / weight.sum()
+    k = min(n_pcs, max(1, int(weight.sum()) - 1), n_genes)
+    axes = np.linalg.svd(np.sqrt(weight)[:, None] * x, full_matrices=False)[2][:k]
+    scores = x @ axes.T
+    profile = {h[0]: row for h, row, b in zip(holders, scores, is_bin) if not b}
+    rows = [(units["patch_id"].iloc[0], cell, units["barcode"].iloc[i], float(((scores[i] - profile[cell]) ** 2).sum()))
+            for i in np.flatnonzero(is_bin) for cell in holders[i]]
+    return pd.DataFrame(rows, columns=["patch_id", "cell_id", "barcode", "d2"])
+
+
+def component_scores(context: DataFrame, expression: DataFrame, members: DataFrame, n_top_genes: int, n_pcs: int, target_sum: float, weight: float,
+                     pitch_um: float, eps: float = 1.0e-8) -> DataFrame:
+    """As ``transcriptomic_scores``, over a patch's most variable genes and leading components.
+
+    Spark chooses the genes, normalises and packs; a task gets one patch, whose rows are its
+    distinct bins and at most its cell cap of profiles, with at most ``n_top_genes`` values.
+    """
+    placed = members.select("patch_id", "cell_id").join(context.select("cell_id", "barcode", "is_seed"), "cell_id")
+    genes = patch_top_genes(placed, expression, n_top_genes).withColumn("code", F.row_number().over(Window.partitionBy("patch_id").orderBy("gene")) - 1)
+    held = placed.groupBy("patch_id", "barcode").agg(F.sort_array(F.collect_list("cell_id")).alias("cells"))
+    sizes = placed.groupBy("patch_id", "cell_id").agg(F.count_if("is_seed").alias("_ns"), F.count("*").alias("_n"))
+    chosen = expression.select("barcode", "gene", "cnt").join(genes, "gene")
+    per_bin = held.join(chosen, ["patch_id", "barcode"]).select("patch_id", "barcode", "code", F.col("cnt").cast("double").alias("v"))
+    used = placed.join(sizes, ["patch_id", "cell_id"]).filter("is_seed or _ns = 0")
+    per_cell = used.join(per_bin, ["patch_id", "barcode"]).groupBy("patch_id", "cell_id", "code").agg(
+        (F.sum("v") / F.max(F.when(F.col("_ns") > 0, F.col("_ns")).otherwise(F.col("_n")))).alias("v"))
+
+    def packed(values: DataFrame, key: str) -> DataFrame:
+        """Codes and log-normalised values of one unit, whose entries are at most ``n_top_genes``."""
+        one = values.groupBy("patch_id", key).agg(F.collect_list(F.struct("code", "v")).alias("e"), F.sum("v").alias("t"))
+        return one.select("patch_id", key, F.col("e.code").alias("codes"),
+                          F.transform("e", lambda e: F.log1p(e["v"] * (target_sum / F.col("t")))).alias("logs"))
+
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    full = lambda df, code: df.select("patch_id", code, "cells", none("codes", "array<int>"), none("logs", "array<double>"))
+    bins = full(held.join(packed(per_bin, "barcode"), ["patch_id", "barcode"], "left"), F.col("barcode"))
+    cells = full(sizes.join(packed(per_cell, "cell_id"), ["patch_id", "cell_id"], "left").withColumn("cells", F.array("cell_id")), F.lit(None).cast("string").alias("barcode"))
+    key = context.schema["cell_id"].dataType.simpleString()
+    d2 = bins.unionByName(cells).groupBy("patch_id").applyInPandas(
+        lambda units: component_distances(units, n_pcs), f"patch_id string, cell_id {key}, barcode string, d2 double")
+    logged = d2.select("patch_id", "cell_id", "barcode", F.log(F.greatest("d2", F.lit(eps))).alias("_t"))
+    return patch_scaled(logged.join(seed_distance(context, pitch_um), ["cell_id", "barcode"]), weight, eps)

@@ -225,3 +225,32 @@ def test_shape_term_moves_margins(spark):
     shaped = {r.cell_id: r.margin for r in sc.competition_margins(scored, 15.0, w, 0.25, 5.0, shape="shape").collect()}
     assert plain == {1: 0.0, 2: 0.0}
     assert shaped[1] == pytest.approx(2 * w.shape) and shaped[2] == pytest.approx(-2 * w.shape)
+
+
+def test_leading_components_match_all_rows(spark):
+    """Distances in two components against an eigenbasis of the stacked rows, bins repeated per cell."""
+    rng = np.random.default_rng(5)
+    counts = {f"b{i}": {f"g{j}": int(v) for j, v in enumerate(rng.poisson(2.0, 5)) if v} for i in range(12)}
+    counts["b11"] = {}
+    held = {1: [f"b{i}" for i in range(8)], 2: [f"b{i}" for i in range(5, 12)]}
+    seeds = {1: ["b0", "b1"], 2: []}
+    context = spark.createDataFrame([(c, b, b in seeds[c], float(int(b[1:])), 0.0, 1.0 + int(b[1:])) for c, bs in held.items() for b in bs],
+                                    "cell_id long, barcode string, is_seed boolean, x_um double, y_um double, dist_um double")
+    expression = spark.createDataFrame([(b, g, v) for b, e in counts.items() for g, v in e.items()], "barcode string, gene string, cnt long")
+    members = spark.createDataFrame([("p", 1), ("p", 2)], "patch_id string, cell_id long")
+
+    raw = {b: np.array([e.get(f"g{j}", 0) for j in range(5)], float) for b, e in counts.items()}
+    pairs = [(c, b) for c, bs in held.items() for b in bs]
+    stacked = np.array([raw[b] for _, b in pairs])
+    kept = sorted(sorted(range(5), key=lambda j: (-stacked[:, j].var(), j))[:3])
+    rows = np.vstack([stacked, *[np.mean([raw[b] for b in (seeds[c] or held[c])], axis=0) for c in held]])[:, kept]
+    total = rows.sum(axis=1, keepdims=True)
+    logs = np.log1p(rows * np.where(total > 0, 100.0 / np.where(total > 0, total, 1), 0))
+    centred = logs - logs.mean(axis=0)
+    z = centred @ np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :2]
+    profile = {c: z[len(pairs) + i] for i, c in enumerate(held)}
+    t = np.log(np.maximum([((z[i] - profile[c]) ** 2).sum() for i, (c, _) in enumerate(pairs)], 1e-8))
+    near = [min((abs(int(b[1:]) - int(s[1:])) for s in seeds[c]), default=1 + int(b[1:])) / 2.0 for c, b in pairs]
+    want = {k: -((v - t.min()) / (t.max() - t.min()) + 0.1 * d) for k, v, d in zip(pairs, t, near)}
+    got = {(r.cell_id, r.barcode): r.score for r in ex.component_scores(context, expression, members, 3, 2, 100.0, 0.1, 2.0).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

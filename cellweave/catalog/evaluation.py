@@ -165,6 +165,24 @@ def _(ws):
     return ev.pick_records(ws["records"], 10, "worst_iou").select("cell_id", *rs("pred_iou"))
 
 
+@query("l2_pick_first", "select cell_id from records order by cell_id limit 10")
+def _(ws):
+    return ev.pick_records(ws["records"], 10, "first").select("cell_id")
+
+
+@query("l2_pick_best", f"select cell_id, {RS('pred_iou')} from records order by pred_iou desc nulls last, cell_id limit 10")
+def _(ws):
+    return ev.pick_records(ws["records"], 10, "best_iou").select("cell_id", *rs("pred_iou"))
+
+
+@query("l2_pick_top_reward", f"""
+select r.cell_id, {R('e.total_reward')} as total_reward from records r left join (select cast(cell_id as varchar) as cell_id, round(sum(reward), 6) as total_reward from step_log group by 1) e on e.cell_id = r.cell_id
+order by e.total_reward desc nulls last, r.cell_id limit 10""")
+def _(ws):
+    total = ws["step_log"].groupBy(F.col("cell_id").cast("string").alias("cell_id")).agg(F.round(F.sum("reward"), 6).alias("total_reward"))
+    return ev.pick_records(ws["records"].join(total, "cell_id", "left"), 10, "top_reward").select("cell_id", *rs("total_reward"))
+
+
 @query("l2_pick_random", "select cell_id from records order by md5(concat('3:', cell_id)), cell_id limit 10")
 def _(ws):
     return ev.pick_records(ws["records"], 10, "random", seed=3).select("cell_id")
@@ -286,6 +304,11 @@ def _(ws):
     return m.orderBy(F.asc_nulls_last("macro_cell_iou"), "patch_id").limit(20).select("patch_id", *rs("macro_cell_iou"))
 
 
+@query("l5_patch_list_by_id", "select patch_id, core_cells from pmetrics order by patch_id limit 20")
+def _(ws):
+    return ev.patch_metrics(ws["patch_bins"], ws["patch_cells"]).orderBy("patch_id").limit(20).select("patch_id", "core_cells")
+
+
 @query("l5_worst_first_cells", f"select patch_id, cell_id, {RS('patch_iou')} from pcells order by patch_iou asc nulls last, patch_id, cell_id limit 50")
 def _(ws):
     return ws["patch_cells"].orderBy(F.asc_nulls_last("patch_iou"), "patch_id", "cell_id").limit(50).select("patch_id", "cell_id", *rs("patch_iou"))

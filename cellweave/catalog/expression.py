@@ -115,6 +115,11 @@ def _(ws):
     return ex.top_genes_per_bin(ws["expression"], 5)
 
 
+@query("u3_unassigned_bins", "select barcode from bin_metadata where barcode not in (select barcode from pred_assignments)")
+def _(ws):
+    return ws["bin_metadata"].select("barcode").join(ws["pred_assignments"].select("barcode"), "barcode", "left_anti")
+
+
 @query("u3_missing_genes", "select distinct gene from expression where gene not in (select gene from selected_genes)")
 def _(ws):
     return ws["expression"].select("gene").distinct().join(ws["selected_genes"], "gene", "left_anti")

@@ -65,7 +65,8 @@ def _(ws):
 @step("grown", stored=True)
 def _grown(ws):
     """Tile patches grown to completion; core cells come first in patch order."""
-    ranked = ws["patch_members"].withColumn("cell_rank", F.when(F.col("role") == "core", 0).otherwise(1000000000) + F.col("cell_id"))
+    core_first = Window.partitionBy("patch_id").orderBy(F.col("role") != "core", "cell_id")
+    ranked = ws["patch_members"].withColumn("cell_rank", F.row_number().over(core_first))
     rows = ranked.select("patch_id", "cell_id", "cell_rank").join(ws["context"], "cell_id")
     return gr.grow_patches(rows, steps.WEIGHTS)
 
@@ -259,7 +260,8 @@ def _(ws):
     def nearest_first(cell, legal, step):
         return 0.5 - cell.base
 
-    ranked = ws["patch_members"].withColumn("cell_rank", F.when(F.col("role") == "core", 0).otherwise(1000000000) + F.col("cell_id"))
+    core_first = Window.partitionBy("patch_id").orderBy(F.col("role") != "core", "cell_id")
+    ranked = ws["patch_members"].withColumn("cell_rank", F.row_number().over(core_first))
     rows = ranked.select("patch_id", "cell_id", "cell_rank").join(ws["context"], "cell_id")
     grown = gr.grow_patches(rows, steps.WEIGHTS, score=nearest_first)
     return grown.filter("kind = 'summary'").select("patch_id", "step_index", "stop_reason", "n_cells")

@@ -32,8 +32,7 @@ from .common import held_out, pieces
 SAMPLE = 10_000
 #: Stems of these lengths compete with whole words as insult patterns.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Candidate patterns at most, the most frequent first, and words that explain a document.
-CANDIDATES = 3_000
+#: Words that explain a document.
 ENOUGH = 3
 #: At least this share of a pattern's documents is toxic.
 PRECISION = 0.5
@@ -147,6 +146,12 @@ def patterns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], ["pattern", "label"])
 
 
+def surprise_of(t: Column, n: Column, prior: float) -> Column:
+    """``surprise`` as a column."""
+    rest = F.when(t < n, (n - t) * F.log((1 - t / n) / (1 - prior))).otherwise(0.0)
+    return F.when(t > 0, t * F.log(t / n / prior)).otherwise(0.0) + rest
+
+
 def surprise(t: float, n: float, prior: float) -> float:
     """Log-likelihood gained by a share of t in n over the prior share."""
     p = t / n
@@ -167,8 +172,8 @@ def learn_lexicon(rows: DataFrame, n: int, toxic: int) -> Lexicon:
         F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     tried = tally.count()
     needed = math.log(max(2, tried)) + 3
-    found = tally.where(F.col("t") >= PRECISION * F.col("n")).orderBy(F.desc("t"), "pattern").limit(CANDIDATES).collect()
-    clean = {r.pattern: r.n - r.t for r in found if surprise(r.t, r.n, prior) > needed}
+    found = tally.where((F.col("t") >= PRECISION * F.col("n")) & (surprise_of(F.col("t"), F.col("n"), prior) > needed))
+    clean = {r.pattern: r.n - r.t for r in found.collect()}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block. Lines in menus, headers, footers, forms,
-notices, adverts, comments and the like have no length, and link text adds none; where a page
-has an article or main element, neither do lines outside it. Lengths are summed over sliding
-windows of lines; where the sums surge above a level a text begins, where they dive to
-nothing it ends, and the lines between are kept.
+Markup is stripped into lines, one for each block. Menus, headers, footers, forms, notices,
+adverts, comments and the like leave no line, and link text adds no length. Lengths are summed
+over sliding windows of lines; where the sums surge above a share of the page's largest window
+a text begins, where they dive to nothing it ends, and the lines between are kept. Lines in an
+article or main element are text whatever their length; surge and dive decide on the others,
+which need a larger share there.
 
 Defined cases: null or empty pages give an empty text; pages may end anywhere and leave tags
 open; repeated rows give equal texts; other columns are ignored.
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import pieces
 
 WINDOW = 3
-#: A surge needs this many characters in a window; inside an article element one is enough.
-SURGE = 40
+#: A surge needs this share of the page's largest window; beside an article or main element, the second one.
+SURGE, SURGE_BESIDE = 0.05, 0.5
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style noscript template textarea title iframe".split())
@@ -58,10 +59,8 @@ def unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[str], list[int], bool]:
-    """The text blocks of a page outside unwanted elements, and their lengths, and whether it has a
-    text root. Unwanted elements leave an empty block.
-    """
+def lines(page: str) -> tuple[list[str], list[int], list[bool]]:
+    """The text blocks of a page outside unwanted elements, their lengths, and whether they are in a text root."""
     out: list[str] = []
     sizes: list[int] = []
     rooted: list[bool] = []
@@ -79,12 +78,7 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
         text.clear()
         linked = 0
 
-    def gap() -> None:
-        flush()
-        out.append("")
-        sizes.append(0)
-        rooted.append(False)
-
+    page = re.sub(r"</?\Z", "", page)  # a page may end in the first signs of a tag
     place, end = 0, len(page)
     while place < end:
         found = TOKEN.search(page, place)
@@ -105,7 +99,7 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
                 if not skip_depth:
                     skip = ""
         elif not closing and unwanted(tag, attributes):
-            gap()
+            flush()
             if tag not in VOID and not attributes.endswith("/"):
                 skip, skip_depth = tag, 1
         elif tag == "a":
@@ -123,33 +117,29 @@ def lines(page: str) -> tuple[list[str], list[int], bool]:
                 skip_depth -= 1
                 skip = skip if skip_depth else ""
     flush()
-    if any(rooted):
-        sizes = [n if r else 0 for n, r in zip(sizes, rooted)]
-        out = [t if r else "" for t, r in zip(out, rooted)]
-    return out, sizes, any(rooted)
+    return out, sizes, rooted
+
+
+def windows(sizes: list[int]) -> list[int]:
+    return [sum(sizes[i:i + WINDOW]) for i in range(len(sizes))]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks, sizes, has_root = lines(page)
-    level = 1 if has_root else SURGE
-    total = [sum(sizes[i:i + WINDOW]) for i in range(len(sizes))]
+    blocks, sizes, rooted = lines(page)
+    largest = max(windows(sizes), default=0)
+    # lines in a root add nothing to the windows beside it
+    total = windows([0 if r else n for n, r in zip(sizes, rooted)])
+    level = (SURGE_BESIDE if any(rooted) else SURGE) * largest
     kept: list[str] = []
-    i = 0
-    while i < len(blocks):
-        # surge: the window is over the level and starts with text
-        if total[i] >= level and (sizes[i] or has_root and blocks[i]):
-            # dive: a whole window without text
-            while i < len(blocks) and total[i]:
-                kept.append(blocks[i])
-                i += 1
-        elif has_root and blocks[i]:
-            kept.append(blocks[i])
-            i += 1
-        else:
-            i += 1
-    return "\n".join([t for t in kept if t])
+    inside = False
+    for block, n, sums, root in zip(blocks, sizes, total, rooted):
+        # surge: the window is over the level and starts with text; dive: a whole window without text
+        inside = sums > 0 and (inside or not root and n > 0 and sums >= level)
+        if root or inside:
+            kept.append(block)
+    return "\n".join(kept)
 
 
 def extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

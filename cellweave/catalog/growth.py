@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.scalars import attach_scalars
 from ..operators import claims, evaluate as ev, expression as ex, growth as gr, patches as pt, scoring as sc
+from ..operators.components import pca_scores
 from ..session import stage_root
 from ..sources import matrix, models, tables
 from ..streaming import ingest as stream
@@ -235,7 +236,7 @@ def _(ws):
     # signs and order are arbitrary; with every component kept the total energy is the centred sum of squares
     values = ex.normalize_log1p(ws["expression"], 10000.0)
     top = ex.top_variance_genes(ws["expression"], ws["tissue_positions"].agg(F.count("*").alias("n")), 20)
-    scores, explained = ex.pca_scores(values, top, 20)
+    scores, explained = pca_scores(values, top, 20)
     energy = F.aggregate("pc", F.lit(0.0), lambda s, v: s + v * v)
     return scores.agg(F.count("*").alias("n_rows"), r(F.sum(energy), 3).alias("total_energy"))
 
@@ -250,10 +251,37 @@ def _(ws):
     # of two genes, the leading component's variance is known in closed form
     values = ex.normalize_log1p(ws["expression"], 10000.0)
     top = ex.top_variance_genes(ws["expression"], ws["tissue_positions"].agg(F.count("*").alias("n")), 2)
-    scores, _ = ex.pca_scores(values, top, 1)
+    scores, _ = pca_scores(values, top, 1)
     return scores.agg(F.count("*").alias("n_rows"), r(F.sum(F.col("pc")[0] * F.col("pc")[0]), 3).alias("first_energy"))
 
 
+@query("a33_leading_components", f"""
+with top as (select gene, row_number() over (order by gene) as i from (select gene from (select gene, greatest(q/n - (s/n)*(s/n), 0.0e0) as v from (select gene, sum(cast(cnt as double)) as s, sum(cast(cnt as double)*cnt) as q from expression group by 1) a, (select count(*) as n from tissue_positions) b) z order by v desc, gene limit 3) y),
+b as (select barcode, coalesce(sum(v) filter (i = 1), 0.0e0) as x, coalesce(sum(v) filter (i = 2), 0.0e0) as y, coalesce(sum(v) filter (i = 3), 0.0e0) as z from nl join top using (gene) group by 1),
+m as (select count(*) as n, var_pop(x) as a, var_pop(y) as d, var_pop(z) as f, covar_pop(x, y) as b, covar_pop(x, z) as c, covar_pop(y, z) as e from b),
+q as (select *, (a + d + f)/3.0e0 as q from m),
+p as (select *, sqrt(((a - q)*(a - q) + (d - q)*(d - q) + (f - q)*(f - q) + 2.0e0*(b*b + c*c + e*e))/6.0e0) as p from q),
+t as (select *, acos(greatest(-1.0e0, least(1.0e0, ((a - q)*((d - q)*(f - q) - e*e) - b*(b*(f - q) - e*c) + c*(b*e - (d - q)*c))/(2.0e0*p*p*p))))/3.0e0 as phi from p),
+w as (select n, q + 2.0e0*p*cos(phi) as first, q + 2.0e0*p*cos(phi + 4.0e0*acos(0.0e0)/3.0e0) as third, q from t)
+select n as n_rows, {R('210.0e0*n*first', 3)} as first_energy, {R('210.0e0*n*(3.0e0*q - first - third)', 3)} as second_energy, true as orthogonal from w""")
+def _(ws):
+    # three genes, each at the weights 2, 5, 9 and 10 (squares: 210), make 12; their leading two components are known in closed form
+    top = ex.top_variance_genes(ws["expression"], ws["tissue_positions"].agg(F.count("*").alias("n")), 3)
+    copies = F.explode(F.array(*[F.lit(w) for w in (2.0, 5.0, 9.0, 10.0)])).alias("w")
+    named = F.concat("gene", F.lit("*"), F.col("w").cast("int").cast("string"))
+    values = ex.normalize_log1p(ws["expression"], 10000.0).join(top.select("gene"), "gene").select("barcode", "gene", "value", copies)
+    scores, _ = pca_scores(values.select("barcode", named.alias("gene"), (F.col("value") * F.col("w")).alias("value")), top.select("gene", copies).select(named.alias("gene")), 2)
+    a, b = F.col("pc")[0], F.col("pc")[1]
+    cross = F.abs(F.sum(a * b)) <= F.lit(1e-6) * F.sum(a * a)
+    return scores.agg(F.count("*").alias("n_rows"), r(F.sum(a * a), 3).alias("first_energy"), r(F.sum(b * b), 3).alias("second_energy"), cross.alias("orthogonal"))
+
+
+@query("a34_leading_component_score")
+def _(ws):
+    """The reference's own limits, 5,000 genes and 50 components, over every patch."""
+    return ex.component_scores(ws["context"], ws["expression"], ws["patch_members"], 5000, 50, 10000.0, 0.5, 2.0).select("patch_id", "cell_id", "barcode", *rs("score", digits=5))
+
+
 @query("f1_custom_score_growth")
 def _(ws):
     """Growth with another score function: nearest bins first, up to half the disc."""

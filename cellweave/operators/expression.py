@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ordered import ordinal, running
 from ..functions.scalars import attach_scalars
+from .components import Sparse, weighted_scores
 
 MAX_TYPES = 2000
 
@@ -254,25 +255,6 @@ def spearman_inputs(pred: DataFrame, truth: DataFrame, pairs: DataFrame, genes:
         F.lit(n_genes).alias("gene_common_count"))
 
 
-def pca_scores(values: DataFrame, genes: DataFrame, n_components: int) -> tuple[DataFrame, list[float]]:
-    """Centred principal component scores over a fixed gene list (signs are arbitrary).
-
-    Bins become dense vectors of the selected genes only, whose number is the caller's
-    top-gene limit. The covariance is accumulated per partition.
-    """
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    names = [x.gene for x in genes.select("gene").orderBy("gene").limit(MAX_TYPES + 1).collect()]
-    if len(names) > MAX_TYPES:
-        raise ValueError(f"more than {MAX_TYPES} genes for the components")
-    packed = values.join(genes.select("gene"), "gene", "left_semi").groupBy("barcode").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene", "value"))).alias("m"))
-    dense = packed.select("barcode", array_to_vector(F.array(*[F.coalesce(F.col("m")[F.lit(g)], F.lit(0.0)) for g in names])).alias("raw"))
-    centred = StandardScaler(inputCol="raw", outputCol="c", withMean=True, withStd=False).fit(dense).transform(dense)
-    model = PCA(k=min(n_components, len(names)), inputCol="c", outputCol="s").fit(centred)
-    return model.transform(centred).select("barcode", vector_to_array("s").alias("pc")), [float(v) for v in model.explainedVariance]
-
-
 def seed_distance(context: DataFrame, pitch_um: float) -> DataFrame:
     """Distance of every candidate bin to its cell's closest seed, in bins; a cell's seeds fit one disc."""
     seeds = context.filter("is_seed").groupBy("cell_id").agg(F.collect_list(F.struct("x_um", "y_um")).alias("_seeds"))
@@ -327,21 +309,17 @@ def component_distances(units: pd.DataFrame, n_pcs: int) -> pd.DataFrame:
     A unit is a bin, with the cells that hold it, or a cell's profile. Components are those
     of all rows (a bin once for every cell that holds it), which a bin's weight stands for.
     """
-    n_genes = 1 + max((int(max(c)) for c in units["codes"] if len(c)), default=0)
-    x = np.zeros((len(units), n_genes))
-    for i, (codes, values) in enumerate(zip(units["codes"], units["logs"])):
-        x[i, np.asarray(codes, dtype=np.int64)] = values
+    lists = [np.asarray(c, dtype=np.int64) for c in units["codes"]]
+    codes = np.concatenate(lists)
+    rows = Sparse(codes, np.concatenate([np.asarray(v, dtype=float) for v in units["logs"]]), np.cumsum([len(c) for c in lists]))
     holders = [list(h) for h in units["cells"]]
     is_bin = units["barcode"].notna().to_numpy()
     weight = np.where(is_bin, [len(h) for h in holders], 1.0)
-    x -= weight @ x / weight.sum()
-    k = min(n_pcs, max(1, int(weight.sum()) - 1), n_genes)
-    axes = np.linalg.svd(np.sqrt(weight)[:, None] * x, full_matrices=False)[2][:k]
-    scores = x @ axes.T
+    scores = weighted_scores(rows, weight, 1 + int(codes.max(initial=0)), n_pcs)
     profile = {h[0]: row for h, row, b in zip(holders, scores, is_bin) if not b}
-    rows = [(units["patch_id"].iloc[0], cell, units["barcode"].iloc[i], float(((scores[i] - profile[cell]) ** 2).sum()))
-            for i in np.flatnonzero(is_bin) for cell in holders[i]]
-    return pd.DataFrame(rows, columns=["patch_id", "cell_id", "barcode", "d2"])
+    found = [(units["patch_id"].iloc[0], cell, units["barcode"].iloc[i], float(((scores[i] - profile[cell]) ** 2).sum()))
+             for i in np.flatnonzero(is_bin) for cell in holders[i]]
+    return pd.DataFrame(found, columns=["patch_id", "cell_id", "barcode", "d2"])
 
 
 def component_scores(context: DataFrame, expression: DataFrame, members: DataFrame, n_top_genes: int, n_pcs: int, target_sum: float, weight: float,

@@ -84,12 +84,13 @@ def _(ws):
 
 
 @query("j9_eight_neighbours", """
-select a.cell_id, a.barcode, b.barcode as n_barcode
+select a.cell_id, a.barcode, count(*) as n_neighbours, min(b.barcode) as first_neighbour, max(b.barcode) as last_neighbour
 from (select cell_id, barcode, array_row + dr as array_row, array_col + dc as array_col from candidates, (values (-1), (0), (1)) r(dr), (values (-1), (0), (1)) c(dc) where dr <> 0 or dc <> 0) a
-join candidates b using (cell_id, array_row, array_col)""")
+join candidates b using (cell_id, array_row, array_col) group by 1, 2""")
 def _(ws):
     c = ws["candidates"].select("cell_id", "barcode", "array_col", "array_row")
-    return grid.neighbour_pairs(c, ["cell_id"], "array_col", "array_row", carry=["barcode"]).select("cell_id", "barcode", "n_barcode")
+    pairs = grid.neighbour_pairs(c, ["cell_id"], "array_col", "array_row", carry=["barcode"])
+    return pairs.groupBy("cell_id", "barcode").agg(F.count("*").alias("n_neighbours"), F.min("n_barcode").alias("first_neighbour"), F.max("n_barcode").alias("last_neighbour"))
 
 
 _EDGES = """

@@ -17,6 +17,9 @@ from ..session import write_stage
 
 MAX_BUCKET_ROWS = 100_000
 MAX_BROADCAST_BUCKETS = 100_000
+#: Squares a side that one square of the level above holds; levels up to 4 ** 12 search radii.
+PYRAMID_FAN = 4
+PYRAMID_LEVELS = 12
 
 
 def _bucketed(points: DataFrame, x: str, y: str, size: float) -> DataFrame:
@@ -82,13 +85,12 @@ def candidate_counts(nuclei: DataFrame, candidates: DataFrame) -> DataFrame:
     return nuclei.join(n, "cell_id", "left").withColumn("n_candidate_bins", F.coalesce("n", F.lit(0))).drop("n")
 
 
-def nearest_two(bins: DataFrame, nuclei: DataFrame, radius: float) -> DataFrame:
-    """The two closest nuclei within ``radius`` of every bin.
+def _two_closest(pairs: DataFrame) -> DataFrame:
+    """(barcode, first, second) of pairs (barcode, cell_id, dist_um).
 
     ``row_number() <= 2`` is a group limit applied before the shuffle, so a crowded bin
     sends at most two nuclei per task.
     """
-    pairs = bucket_join(nuclei, bins, ("center_x_um", "center_y_um"), ("x_um", "y_um"), radius)
     entry = F.struct(F.col("dist_um").alias("d"), F.col("cell_id").alias("c"))
     w = Window.partitionBy("barcode").orderBy("dist_um", "cell_id")
     ranked = pairs.withColumn("_rn", F.row_number().over(w)).filter("_rn <= 2")
@@ -96,33 +98,74 @@ def nearest_two(bins: DataFrame, nuclei: DataFrame, radius: float) -> DataFrame:
         F.min(entry).alias("first"), F.max(F.when(F.col("_rn") == 2, entry)).alias("second"))
 
 
+def _pyramid(centres: DataFrame, size: float) -> DataFrame:
+    """Occupied squares (level, cx, cy) with their number of centres, counted up to 2, and parent square.
+
+    A square of level k has the side ``size * PYRAMID_FAN ** k``.
+    """
+    side = F.lit(float(size)) * F.pow(F.lit(float(PYRAMID_FAN)), F.col("level"))
+    placed = centres.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(PYRAMID_LEVELS - 1)))).select(
+        "level", F.floor(F.col("center_x_um") / side).cast("long").alias("cx"), F.floor(F.col("center_y_um") / side).cast("long").alias("cy"))
+    up = lambda c: F.floor(F.col(c) / PYRAMID_FAN).cast("long")
+    return placed.groupBy("level", "cx", "cy").agg(F.least(F.count("*"), F.lit(2)).alias("n")).select("level", "cx", "cy", "n", up("cx").alias("ux"), up("cy").alias("uy"))
+
+
+def far_two(bins: DataFrame, centres: DataFrame, size: float) -> DataFrame:
+    """The two closest centres of bins, at any distance: (barcode, first, second).
+
+    Bins of one square look together. From the root of the pyramid downwards a square keeps
+    those occupied squares that may hold one of the two closest centres of any of its points:
+    their least distance is not above the second smallest of the greatest distances. What is
+    kept is a ring around the closest centres on every level, a few squares whatever lies
+    inside or outside of it, so that a level costs an equality join and one group per square.
+    """
+    half = float(size) / 2.0
+    at = lambda c: F.floor(F.col(c) / half).cast("long")
+    placed = bins.select("barcode", "x_um", "y_um", at("x_um").alias("bx"), at("y_um").alias("by"))
+    squares = write_stage(_pyramid(centres, size), "pyramid")
+    rings = placed.select("bx", "by").distinct().withColumn("kept", F.array(F.struct(F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))))
+    # the search starts under the lowest level that has a few squares only, all of them under one root
+    few = squares.groupBy("level").count().filter(F.col("count") <= PYRAMID_FAN ** 2).agg(F.min("level")).first()[0]
+    top = PYRAMID_LEVELS - 1 if few is None else few
+    for level in range(top, -1, -1):
+        side = float(size) * PYRAMID_FAN ** level
+        above = lambda c: F.lit(0).cast("long").alias(c) if level == top else F.col(c)
+        children = squares.filter(F.col("level") == level).select(above("ux"), above("uy"), "cx", "cy", "n")
+        rows = rings.select("bx", "by", F.explode("kept").alias("k")).select("bx", "by", F.col("k.cx").alias("ux"), F.col("k.cy").alias("uy")).join(children, ["ux", "uy"])
+
+        def apart(c: str, b: str) -> tuple[Column, Column]:
+            low, own = F.col(c) * side, F.col(b) * half
+            return (F.greatest(F.lit(0.0), low - own - half, own - low - side), F.greatest(low + side - own, own + half - low))
+
+        (dx, far_x), (dy, far_y) = apart("cx", "bx"), apart("cy", "by")
+        entry = F.struct(F.sqrt(far_x * far_x + far_y * far_y).alias("far"), "n", F.sqrt(dx * dx + dy * dy).alias("near"), "cx", "cy")
+        met = rows.groupBy("bx", "by").agg(F.sort_array(F.collect_list(entry)).alias("all"))
+        bound = F.when(F.get("all", F.lit(0))["n"] > 1, F.get("all", F.lit(0))["far"]).otherwise(F.coalesce(F.get("all", F.lit(1))["far"], F.lit(float("inf"))))
+        kept = met.withColumn("bound", bound * (1.0 + 1.0e-12)).select("bx", "by", F.filter("all", lambda e: e["near"] <= F.col("bound")).alias("all"))
+        rings = kept.select("bx", "by", F.transform("all", lambda e: F.struct(e["cx"].alias("cx"), e["cy"].alias("cy"))).alias("kept"))
+    ends = rings.select("bx", "by", F.explode("kept").alias("k")).select("bx", "by", "k.cx", "k.cy")
+    homes = centres.select("cell_id", "center_x_um", "center_y_um", F.floor(F.col("center_x_um") / size).cast("long").alias("cx"), F.floor(F.col("center_y_um") / size).cast("long").alias("cy"))
+    dx, dy = F.col("center_x_um") - F.col("x_um"), F.col("center_y_um") - F.col("y_um")
+    pairs = ends.join(homes, ["cx", "cy"]).join(placed, ["bx", "by"]).select("barcode", "cell_id", F.sqrt(dx * dx + dy * dy).alias("dist_um"))
+    return _two_closest(pairs)
+
+
 def nearest_other_nucleus(candidates: DataFrame, nuclei: DataFrame, start_radius: float) -> DataFrame:
     """``d_other``: distance from a candidate bin to the closest nucleus other than its cell's.
 
-    Bins whose two closest nuclei lie within the search radius are settled. The others are
-    searched again with twice the radius until all are settled or the radius covers the
-    slide; null then means there is no other nucleus.
+    Bins whose two closest nuclei lie within the start radius are settled by a radius join,
+    the others by a search through a pyramid of occupied squares; null then means there is
+    no other nucleus.
     """
     centres = nuclei.select("cell_id", "center_x_um", "center_y_um")
     bins = candidates.select("barcode", "x_um", "y_um").distinct()
-    # extents come from a one-row aggregate
-    span = centres.agg(F.max("center_x_um") - F.min("center_x_um"), F.max("center_y_um") - F.min("center_y_um")).first()
-    limit = 4.0 * (float(span[0] or 0.0) + float(span[1] or 0.0)) + 4.0 * start_radius
-    radius, open_bins, parts = float(start_radius), bins, []
-    while True:
-        found = write_stage(open_bins.select("barcode", "x_um", "y_um").join(
-            nearest_two(open_bins, centres, radius), "barcode", "left"), "nearest")
-        parts.append(found.filter("second is not null"))
-        open_bins = found.filter("second is null").select("barcode", "x_um", "y_um")
-        if radius >= limit or open_bins.limit(1).count() == 0:
-            parts.append(found.filter("second is null"))
-            break
-        radius *= 2.0
-    top = parts[0]
-    for extra in parts[1:]:
-        top = top.unionByName(extra)
+    near = bucket_join(centres, bins, ("center_x_um", "center_y_um"), ("x_um", "y_um"), start_radius)
+    found = write_stage(bins.join(_two_closest(near), "barcode", "left"), "nearest")
+    top, alone = found.filter("second is not null").select("barcode", "first", "second"), found.filter("second is null")
+    if not alone.isEmpty():
+        top = top.unionByName(far_two(alone.select("barcode", "x_um", "y_um"), centres, start_radius))
     own_first = F.col("first.c") == F.col("cell_id")
-    return candidates.join(top.select("barcode", "first", "second"), "barcode", "left").select(
+    return candidates.join(top, "barcode", "left").select(
         *candidates.columns,
         F.when(own_first, F.col("second.d")).otherwise(F.col("first.d")).alias("d_other"))
 

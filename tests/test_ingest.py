@@ -1,6 +1,7 @@
 """Pixels to bins, claims, nuclei: literal cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,17 @@ def test_nearest_other_grows_its_radius(spark):
     assert {r.d_other for r in alone.collect()} == {None}
 
 
+def test_nearest_other_far_from_a_crowd(spark):
+    rng = random.Random(8)
+    nuc = [(i, rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(150)] + [(500, 3.0e5, -2.0e4), (501, -900.0, 4000.0), (502, -900.0, 4000.0)] + [(600 + i, rng.uniform(-3000, 3000), rng.uniform(-3000, 3000)) for i in range(40)]
+    cand = [(c, f"{c}-{k}", x + rng.uniform(-2, 2), y + rng.uniform(-2, 2), 1.0) for c, x, y in nuc for k in range(2)]
+    out = {r.barcode: r.d_other for r in sj.nearest_other_nucleus(
+        spark.createDataFrame(cand, "cell_id long, barcode string, x_um double, y_um double, dist_um double"),
+        spark.createDataFrame(nuc, "cell_id long, center_x_um double, center_y_um double"), 3.0).collect()}
+    want = {b: min(math.hypot(nx - x, ny - y) for n, nx, ny in nuc if n != c) for c, b, x, y, _ in cand}
+    assert out == pytest.approx(want)
+
+
 def test_within_distance_is_strict(spark):
     rows = spark.createDataFrame([(0, 0), (3, 0)], "array_col int, array_row int")
     target = spark.createDataFrame([(1, 0)], "array_col int, array_row int")

@@ -17,6 +17,9 @@ from ..functions.scalars import attach_scalars
 from .components import Sparse, weighted_scores
 
 MAX_TYPES = 2000
+#: A gene table up to this size is sent to all tasks; entries of one gene that meet in one join key beyond it.
+GENE_TABLE_BYTES = 32 << 20
+GENE_BLOCK_ROWS = 1_000_000
 
 
 def gene_allowlist(names: DataFrame, column: str, first_seen: str | None = None) -> DataFrame:
@@ -79,18 +82,18 @@ def log_theta(counts: DataFrame, genes: DataFrame, types: Sequence[str], epsilon
     """One row per gene with the array of log theta over ``types``.
 
     theta = (C + eps) / sum over genes of (C + eps), which is flat for a type without counts
-    in these genes. Built by a conditional aggregate per
-    gene, so no type x gene grid is expanded.
+    in these genes. Types meet genes once, by their number, and a gene's types are sorted
+    into its array, so that the work is the size of the result.
     """
-    total = counts.groupBy("cell_type").agg(F.sum("count").alias("total"))
+    named = counts.sparkSession.createDataFrame([(i, t) for i, t in enumerate(types)], "type_index int, cell_type string")
+    total = named.join(counts.groupBy("cell_type").agg(F.sum("count").alias("total")), "cell_type", "left")
     n_genes = genes.agg(F.count("*").alias("_g"))
-    denominators = attach_scalars(total, n_genes).select("cell_type", (F.col("total") + epsilon * F.col("_g")).alias("den"))
-    dens = attach_scalars(attach_scalars(genes.select("gene"), denominators.agg(
-        F.map_from_entries(F.collect_list(F.struct("cell_type", "den"))).alias("_den"))), n_genes)
-    wide = counts.groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("cell_type", "count"))).alias("_c"))
-    joined = dens.join(wide, "gene", "left")
-    logs = [F.log((F.coalesce(F.col("_c")[F.lit(t)], F.lit(0)) + F.lit(epsilon)) / F.coalesce(F.col("_den")[F.lit(t)], epsilon * F.col("_g"))) for t in types]
-    return joined.select("gene", F.array(*logs).alias("log_theta"))
+    denominators = attach_scalars(total, n_genes).select("type_index", "cell_type", (F.coalesce("total", F.lit(0)) + epsilon * F.col("_g")).alias("den"))
+    every_type = denominators.agg(F.collect_list(F.struct("type_index", "cell_type", "den")).alias("_types"))
+    grid = attach_scalars(genes.select("gene"), every_type).select("gene", F.explode("_types").alias("t")).select("gene", "t.*")
+    joined = grid.join(counts.select("gene", "cell_type", "count"), ["gene", "cell_type"], "left")
+    entry = F.struct("type_index", F.log((F.coalesce("count", F.lit(0)) + F.lit(epsilon)) / F.col("den")).alias("v"))
+    return joined.groupBy("gene").agg(F.sort_array(F.collect_list(entry)).alias("e")).select("gene", F.col("e.v").alias("log_theta"))
 
 
 def theta_long(theta: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -99,13 +102,28 @@ def theta_long(theta: DataFrame, types: Sequence[str]) -> DataFrame:
         "gene", F.col("z.cell_type").alias("cell_type"), F.col("z.log_theta").alias("log_theta"))
 
 
-def bin_likelihoods(expression: DataFrame, theta: DataFrame, n_types: int) -> DataFrame:
+def blocked_genes(expression: DataFrame, theta: DataFrame, block_rows: int) -> DataFrame:
+    """``expression`` with ``log_theta``, joined in blocks of gene x bins.
+
+    The bins are dealt to as many blocks as the most frequent gene has runs of ``block_rows``
+    entries, and every gene stands in each block once, so that no join key holds much more
+    than a run, whatever share of the bins a gene is found in.
+    """
+    most = expression.groupBy("gene").agg(F.count("*").alias("n")).agg(F.greatest(F.lit(1), F.ceil(F.max("n") / block_rows)).cast("long").alias("_blocks"))
+    dealt = attach_scalars(expression.select("barcode", "gene", "cnt"), most).withColumn("_block", F.pmod(F.xxhash64("barcode"), F.col("_blocks"))).drop("_blocks")
+    spread = attach_scalars(theta.select("gene", "log_theta"), most).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+    return dealt.join(spread.hint("merge"), ["gene", "_block"])
+
+
+def bin_likelihoods(expression: DataFrame, theta: DataFrame, n_types: int, broadcast_bytes: int = GENE_TABLE_BYTES, block_rows: int = GENE_BLOCK_ROWS) -> DataFrame:
     """Per bin: selected-gene total and mean log-likelihood per type (array in type order).
 
     One row per non-zero count enters the aggregate; K running sums replace a K-fold
-    explode. Spark chooses to broadcast the gene table when its measured size allows.
+    explode. The gene table, whose size is counted, goes to all tasks while it is small;
+    beyond that both sides meet in blocks of gene x bins.
     """
-    joined = expression.join(theta, "gene")
+    small = theta.limit(broadcast_bytes // (8 * n_types + 64) + 1).count() <= broadcast_bytes // (8 * n_types + 64)
+    joined = expression.join(F.broadcast(theta), "gene") if small else blocked_genes(expression, theta, block_rows)
     sums = [F.sum(F.col("cnt") * F.col("log_theta")[i]).alias(f"_s{i}") for i in range(n_types)]
     agg = joined.groupBy("barcode").agg(F.sum("cnt").alias("bin_total"), *sums)
     n = F.col("bin_total")

@@ -119,6 +119,18 @@ def test_likelihood_is_zero_for_empty_bins(spark):
     assert out["b1"].ll[1] == pytest.approx(math.log(5.5 / 6)) and out["b1"].expr_conf == pytest.approx(3 / 8)
 
 
+def test_likelihood_blocks_divide_a_gene_of_every_bin(spark):
+    genes = spark.createDataFrame([(f"g{i}",) for i in range(20)], "gene string")
+    counts = spark.createDataFrame([(t, f"g{i}", 1 + (i * k) % 7) for k, t in enumerate("ABC", 2) for i in range(20) if i % k], "cell_type string, gene string, count long")
+    theta = ex.log_theta(counts, genes, ["A", "B", "C"], 0.5)
+    expr = spark.range(4000).select(F.concat(F.lit("b"), "id").alias("barcode"), F.explode(F.array(F.lit("g0"), F.concat(F.lit("g"), (F.col("id") % 19 + 1).cast("string")))).alias("gene"), (F.col("id") % 5 + 1).alias("cnt"))
+    rows = lambda df: sorted((r.barcode, r.bin_total, *[round(v, 9) for v in r.ll]) for r in df.collect())
+    assert rows(ex.bin_likelihoods(expr, theta, 3, broadcast_bytes=0, block_rows=500)) == rows(ex.bin_likelihoods(expr, theta, 3))
+    keys = [r["count"] for r in ex.blocked_genes(expr, theta, 500).filter("gene = 'g0'").groupBy("_block").count().collect()]
+    assert len(keys) == 8 and max(keys) <= 2 * sorted(keys)[4]
+    assert ex.bin_likelihoods(expr.limit(0), theta, 3, broadcast_bytes=0).count() == 0
+
+
 def state_of(spark, rows_df):
     marked = sc.with_support(rows_df, rows_df.filter("is_seed"), ["cell_id"])
     return sc.with_raw_terms(sc.with_frontier(marked, sc.cell_sums(marked, ["cell_id"], 3), ["cell_id"]))

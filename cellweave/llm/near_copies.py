@@ -3,8 +3,12 @@
 A document is the set of its case-folded 5-word shingles, hashed; equal sets are one class.
 Minima of ``BANDS * ROWS`` permutations, ``ROWS`` to a key, make pairs that share a key
 candidates: at the similarity of 0.8 all keys differ once in 14,000 pairs, above it less.
-Every candidate is then verified on the whole sets, so that no link is a guess. Keys held by
-more than ``SMALL`` sets give links to a few of their members instead of all pairs.
+Every candidate is then verified on the whole sets, so that no link is a guess.
+
+Keys held by more than ``SMALL`` sets don't give all pairs. Some members, the centres, are compared
+with all others that share a second key with them. Then every member that is still without any link
+becomes a centre in its turn, four times as many in each round, until none is left: a member is
+either linked or was compared with its whole group.
 
 Defined cases: texts of fewer words than a shingle have one shingle; texts without words and
 rows without id link to nothing; repeated rows fall into one class.
@@ -12,12 +16,13 @@ rows without id link to nothing; repeated rows fall into one class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import maybe_in, pieces, stage
 from .passages import Texts, rolling, scrambled
@@ -26,6 +31,7 @@ SHINGLE = 5
 #: Similarity of at least FOUR fifths, in whole numbers.
 OVER, UNDER = 4, 5
 BANDS, ROWS = 24, 5
+#: A key of more sets than this is searched from centres, so many in the first round.
 SMALL = 32
 CENTRES = 2
 PIECE_BYTES = 1 << 20
@@ -89,20 +95,49 @@ def similar_enough(common: Column, a: Column, b: Column) -> Column:
     return UNDER * common >= OVER * (a + b - common)
 
 
-def candidates(classes: DataFrame, small: int, centres: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a key and whose sizes allow the similarity, a < b."""
+def shared_keys(classes: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, s) of keys that few sets share, and (key, s, held) of those that many do."""
     keyed = classes.select(F.explode("held").alias("key"), F.struct("set_id", "n").alias("s"))
     shared = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held_by")).where("held_by > 1"), "shared-keys")
     members = stage(maybe_in(keyed, keyed["key"], shared, shared["key"]).join(shared, "key"), "key-members")
-    few = members.where(F.col("held_by") <= small).groupBy("key").agg(F.collect_set("s").alias("all"))
-    pairs = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
-    many = members.where(F.col("held_by") > small)
-    middle = many.groupBy("key").agg(F.array(*[F.min_by("s", F.xxhash64("s.set_id", F.lit(k))) for k in range(centres)]).alias("centres"))
-    pairs = pairs.where("x.set_id < y.set_id").union(many.join(middle, "key").select(F.col("s").alias("x"), F.explode("centres").alias("y")))
+    many = members.where(F.col("held_by") > small).select("key", "s", F.col("s.set_id").alias("set_id"))
+    many = stage(many.join(classes.select("set_id", "held"), "set_id").select("key", "s", "held"), "large-keys")
+    return members.where(F.col("held_by") <= small).select("key", "s"), many
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of the sets x and y whose sizes allow the similarity, a < b."""
     pairs = pairs.where(similar_enough(F.least("x.n", "y.n"), F.col("x.n"), F.col("y.n")) & (F.col("x.set_id") != F.col("y.set_id")))
     return pairs.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
+def few_pairs(members: DataFrame) -> DataFrame:
+    few = members.groupBy("key").agg(F.collect_set("s").alias("all"))
+    pairs = few.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    return in_order(pairs.where("x.set_id < y.set_id"))
+
+
+def centre_links(many: DataFrame, linked: DataFrame, verified: Callable[[DataFrame], DataFrame], centres: int) -> DataFrame | None:
+    """Links (a, b) in the groups of large keys; ``linked`` has the ids (set_id) of sets that have links already."""
+    found: list[DataFrame] = []
+    asked: DataFrame | None = None
+    rows = many.withColumn("set_id", F.col("s.set_id"))
+    while True:
+        # the first round takes any members, so that what smaller keys link is joined as well
+        open_rows = rows if asked is None else rows.join(linked, "set_id", "left_anti").join(asked, ["key", "set_id"], "left_anti")
+        ranked = open_rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id"))).where(F.col("place") <= centres)
+        middle = stage(ranked.select("key", F.col("s").alias("y"), F.col("held").alias("y_held")), "centres")
+        if middle.isEmpty():
+            return reduce(DataFrame.union, found) if found else None
+        pairs = many.select("key", F.col("s").alias("x"), "held").join(middle, "key")
+        links = stage(verified(stage(in_order(pairs.where(F.size(F.array_intersect("held", "y_held")) > 1)), "centre-pairs")), "centre-links")
+        found.append(links)
+        used = middle.select("key", F.col("y.set_id").alias("set_id"))
+        asked = used if asked is None else asked.union(used)
+        linked = linked.union(links.select(F.col("a").alias("set_id"))).union(links.select(F.col("b").alias("set_id")))
+        centres *= 4
+
+
 def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SHINGLE, small: int = SMALL, centres: int = CENTRES) -> DataFrame:
     """Links (u, v) between documents, by doc_id, that connect what is similar enough.
 
@@ -110,22 +145,30 @@ def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SH
     """
     table = stage(sets_of(docs, size, False), "sets")
     classes = stage(table.groupBy("set_id").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("held").alias("held")), "set-classes")
-    pairs = candidates(classes, small, centres)
+    few, many = shared_keys(classes, small)
+    pairs = few_pairs(few)
     if also is not None:
         ids = table.select("doc_id", "set_id").distinct()
         x, y = ids.select(F.col("doc_id").alias("u"), F.col("set_id").alias("x")), ids.select(F.col("doc_id").alias("v"), F.col("set_id").alias("y"))
         more = also.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = pairs.union(more).distinct()
     pairs = stage(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).union(many.select("s.set_id")).distinct()
     wanted = stage(ids.join(classes.select("set_id", "class_id"), "set_id"), "wanted")
     # the sets of candidates only; the document that stands for a class may share its id with others
     whole = sets_of(maybe_in(docs, docs["doc_id"].cast("long"), wanted, wanted["class_id"]), size, True)
-    sets = stage(whole.join(wanted, "set_id").where("doc_id = class_id").groupBy("set_id").agg(F.any_value("class_id").alias("class_id"), F.any_value("held").alias("held")), "candidate-sets")
-    left = sets.select(F.col("set_id").alias("a"), F.col("class_id").alias("u"), F.col("held").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("class_id").alias("v"), F.col("held").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    close = both.where(similar_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("u", "v")
+    sets = stage(whole.join(wanted, "set_id").where("doc_id = class_id").groupBy("set_id").agg(F.any_value("held").alias("held")), "candidate-sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        both = some.join(sets.select(F.col("set_id").alias("a"), F.col("held").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("held").alias("y")), "b")
+        return both.where(similar_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+
+    close = stage(verified(pairs), "close")
+    linked = close.select(F.col("a").alias("set_id")).union(close.select(F.col("b").alias("set_id")))
+    more = centre_links(many, linked, verified, centres)
+    close = close if more is None else close.union(more)
+    names = wanted.select("set_id", "class_id")
+    close = close.join(names.withColumnsRenamed({"set_id": "a", "class_id": "u"}), "a").join(names.withColumnsRenamed({"set_id": "b", "class_id": "v"}), "b").select("u", "v")
     same = classes.where("copies > 1").select("set_id", "class_id")
     copies = table.select("doc_id", "set_id").join(same, "set_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     return close.union(copies).where("u <> v")

@@ -56,6 +56,18 @@ def test_links_equal_brute_force(spark, small):
     assert similar_links(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_large_families_are_found_without_all_pairs(spark):
+    rng = random.Random(21)
+    base, crowd = [f"f{rng.randrange(10**6)}" for _ in range(300)], [f"c{rng.randrange(10**6)}" for _ in range(300)]
+    # members are near some others but near no common one
+    rows = [(k, with_changes(base, 4, rng)) for k in range(400)]
+    # much of the text in common, but no two of them similar
+    rows += [(1000 + k, " ".join(crowd[:260] + [f"own{rng.randrange(10**9)}" for _ in range(80)])) for k in range(150)]
+    want = brute_removed(rows)
+    got = {r.u for r in components(similar_links(documents(spark, rows))).collect()}
+    assert len(want) > 380 and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_pipeline_stage_removes_what_is_similar_and_nothing_else(spark, tmp_path):
     rng = random.Random(12)
     base = [f"w{rng.randrange(10**6)}" for _ in range(300)]

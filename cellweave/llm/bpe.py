@@ -44,7 +44,7 @@ NEWER_LOWER = {
     **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
 }
 #: Entries of one generation; the one before is kept beside it.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 75_000
 CACHE_PAIRS = 75_000
 NEVER = 1 << 60
 
@@ -228,6 +228,8 @@ def encode_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), bpe.decode(ids)],
                 ["doc_id", "n_tokens", "ids", "decoded"])
+    # the worker may serve other stages next
+    bpe.words.old, bpe.fits.old = {}, {}
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

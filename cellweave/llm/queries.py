@@ -53,11 +53,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op4_line_dedup", r"""
-with l as (select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as p from documents where text is not null),
-t as (select source, count(*) as pages from documents group by source),
-b as (select source, line from (select distinct doc_id, source, line from l where line <> '') join t using (source)
-      group by source, line, pages having count(*) >= 3 and count(*) > 0.01 * pages),
-k as (select doc_id, string_agg(line, chr(10) order by p) as kept_text, count(*) as n from l anti join b using (source, line) group by doc_id),
+with l as (select doc_id, source, md5(text) as page, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as p from documents where text is not null),
+t as (select source, count(distinct md5(text)) + max(case when text is null then 1 else 0 end) as pages from documents group by source),
+b as (select c.source, c.line from (select source, line, count(distinct page) as n from l where line <> '' group by source, line) c join t on c.source is not distinct from t.source
+      where c.n >= 3 and c.n > 0.01 * t.pages),
+k as (select doc_id, string_agg(line, chr(10) order by p) as kept_text, count(*) as n from l where not exists (select 1 from b where b.source is not distinct from l.source and b.line = l.line) group by doc_id),
 n as (select doc_id, count(*) as n from l group by doc_id)
 select d.doc_id, d.source, cast(coalesce(n.n, 0) as bigint) as n_lines, cast(coalesce(n.n, 0) - coalesce(k.n, 0) as bigint) as n_dropped,
        case when d.text is not null then sha256(coalesce(k.kept_text, '')) end as kept_sha256

@@ -158,7 +158,7 @@ def _(ws):
 
 cte("props", """
 select s.patch_id, s.cell_id, s.barcode, s.add_score as delta, rn - 1 as round, m.cell_rank from (select *, row_number() over (partition by patch_id, cell_id order by round(add_score, 6) desc, matrix_col_index) as rn from psco where is_legal) s
-join (select patch_id, cell_id, row_number() over (partition by patch_id order by cell_id) - 1 as cell_rank from pmem) m on m.patch_id = s.patch_id and m.cell_id = s.cell_id where rn <= 3""")
+join (select patch_id, cell_id, row_number() over (partition by patch_id order by cell_id) - 1 as cell_rank from pmem) m on m.patch_id = s.patch_id and m.cell_id = s.cell_id""")
 cte("props_kept", """
 select * from (select p.*, row_number() over (partition by p.patch_id, round, barcode order by (cell_rank - round + n) % n, p.cell_id) as k from props p join (select patch_id, count(*) as n from pmem group by 1) c on c.patch_id = p.patch_id) q where k = 1""")
 
@@ -166,7 +166,7 @@ select * from (select p.*, row_number() over (partition by p.patch_id, round, ba
 def joint(ws):
     # a patch holds at most its cell cap, so the windows over a patch stay small
     w = Window.partitionBy("patch_id", "cell_id").orderBy(F.desc(F.round("add_score", 6)), "matrix_col_index")
-    top = ws["patch_scored"].filter("is_legal").withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
+    top = ws["patch_scored"].filter("is_legal").withColumn("rn", F.row_number().over(w))
     order = Window.partitionBy("patch_id").orderBy("cell_id")
     ranks = ws["patch_members"].select("patch_id", "cell_id", (F.row_number().over(order) - 1).alias("cell_rank"))
     props = top.join(ranks, ["patch_id", "cell_id"]).select("patch_id", "cell_id", "barcode", F.col("add_score").alias("delta"), (F.col("rn") - 1).alias("round"), "cell_rank")

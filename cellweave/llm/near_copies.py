@@ -8,7 +8,8 @@ Every candidate is then verified on the whole sets, so that no link is a guess.
 Keys held by more than ``SMALL`` sets don't give all pairs. Some members, the centres, are compared
 with all others that share a second key with them. Then every member that is still without any link
 becomes a centre in its turn, four times as many in each round, until none is left: a member is
-either linked or was compared with its whole group.
+either linked or was compared with all of its group that share a second key with it (at the
+similarity of 0.8 one pair in a thousand doesn't).
 
 Defined cases: texts of fewer words than a shingle have one shingle; texts without words and
 rows without id link to nothing; repeated rows fall into one class.

@@ -5,11 +5,12 @@ Minima of ``BANDS * ROWS`` permutations, ``ROWS`` to a key, make pairs that shar
 candidates: at the similarity of 0.8 all keys differ once in 14,000 pairs, above it less.
 Every candidate is then verified on the whole sets, so that no link is a guess.
 
-Keys held by more than ``SMALL`` sets don't give all pairs. Some members, the centres, are compared
-with all others that share a second key with them. Then every member that is still without any link
-becomes a centre in its turn, four times as many in each round, until none is left: a member is
-either linked or was compared with all of its group that share a second key with it (at the
-similarity of 0.8 one pair in a thousand doesn't).
+Keys held by more than ``SMALL`` sets don't give all pairs. A few members, the centres, are compared
+with the others that share a second key with them; this joins most of a family in a few links. What
+is in different components after that is compared by prefixes: the shingles of each set are ordered
+by rarity, sets that are similar enough share one of the first fifth, and sizes and positions bound
+how much they can have in common. This leaves out no link between two components, and members of
+one component are not compared again.
 
 Defined cases: texts of fewer words than a shingle have one shingle; texts without words and
 rows without id link to nothing; repeated rows fall into one class.
@@ -17,8 +18,7 @@ rows without id link to nothing; repeated rows fall into one class.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +26,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import maybe_in, pieces, stage
+from .components import components
 from .passages import Texts, rolling, scrambled
 
 SHINGLE = 5
 #: Similarity of at least FOUR fifths, in whole numbers.
 OVER, UNDER = 4, 5
 BANDS, ROWS = 24, 5
-#: A key of more sets than this is searched from centres, so many in the first round.
+#: A key of more sets than this is searched from centres, up to these places in each round.
 SMALL = 32
-CENTRES = 2
+CENTRES = (2, 6, 14)
+#: Prefix rows of one shingle that meet in one join key.
+SHARE = 512
 PIECE_BYTES = 1 << 20
 U = np.uint64
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, U) * U(2) + U(1)
@@ -118,28 +121,57 @@ def few_pairs(members: DataFrame) -> DataFrame:
     return in_order(pairs.where("x.set_id < y.set_id"))
 
 
-def centre_links(many: DataFrame, linked: DataFrame, verified: Callable[[DataFrame], DataFrame], centres: int) -> DataFrame | None:
-    """Links (a, b) in the groups of large keys; ``linked`` has the ids (set_id) of sets that have links already."""
-    found: list[DataFrame] = []
-    asked: DataFrame | None = None
-    rows = many.withColumn("set_id", F.col("s.set_id"))
-    while True:
-        # the first round takes any members, so that what smaller keys link is joined as well
-        open_rows = rows if asked is None else rows.join(linked, "set_id", "left_anti").join(asked, ["key", "set_id"], "left_anti")
-        ranked = open_rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("set_id"), "set_id"))).where(F.col("place") <= centres)
-        middle = stage(ranked.select("key", F.col("s").alias("y"), F.col("held").alias("y_held")), "centres")
-        if middle.isEmpty():
-            return reduce(DataFrame.union, found) if found else None
-        pairs = many.select("key", F.col("s").alias("x"), "held").join(middle, "key")
-        links = stage(verified(stage(in_order(pairs.where(F.size(F.array_intersect("held", "y_held")) > 1)), "centre-pairs")), "centre-links")
-        found.append(links)
-        used = middle.select("key", F.col("y.set_id").alias("set_id"))
-        asked = used if asked is None else asked.union(used)
-        linked = linked.union(links.select(F.col("a").alias("set_id"))).union(links.select(F.col("b").alias("set_id")))
-        centres *= 4
-
-
-def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SHINGLE, small: int = SMALL, centres: int = CENTRES) -> DataFrame:
+Check = Callable[[DataFrame], DataFrame]
+
+
+def ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("set_id")).union(links.select(F.col("b").alias("set_id"))).distinct()
+
+
+def centre_links(many: DataFrame, links: DataFrame, verified: Check, centres: Sequence[int]) -> DataFrame:
+    """``links`` (a, b) and those that the centres of large keys find.
+
+    The first centres ask all members, so that what smaller keys link is joined as well; each
+    later round has fresh centres and asks the members without any link.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("s.set_id"), "s.set_id"))
+    ranked = many.withColumn("place", place).where(F.col("place") <= centres[-1])
+    middle = stage(ranked.select("key", "place", F.col("s").alias("y"), F.col("held").alias("y_held")), "centres")
+    members = many.select("key", F.col("s").alias("x"), "held", F.col("s.set_id").alias("set_id"))
+    before = 0
+    for last in centres:
+        asked = members.join(ends(links), "set_id", "left_anti") if before else members
+        pairs = asked.join(middle.where((F.col("place") > before) & (F.col("place") <= last)), "key")
+        pairs = stage(in_order(pairs.where(F.size(F.array_intersect("held", "y_held")) > 1)), "centre-pairs")
+        links = links.union(stage(verified(pairs), "centre-links"))
+        before = last
+    return links
+
+
+def bridging_pairs(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``sets`` (set_id, held) in different components of ``links`` that may be similar enough.
+
+    No similar pair is missing. A shingle's most frequent component meets the others only, never itself;
+    shingles of many sets are divided into shares.
+    """
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("u").alias("set_id"), F.col("v").alias("label"))
+    tokens = sets.select("set_id", F.explode("held").alias("t"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ordered = tokens.join(often, "t").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("all"))
+    first = ordered.withColumn("n", F.size("all").cast("long")).withColumn("first", F.expr(f"slice(all, 1, cast(n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1 as int))"))
+    heads = first.join(label, "set_id", "left").select("set_id", F.coalesce("label", "set_id").alias("label"), "n", F.posexplode("first").alias("p", "x"))
+    heads = stage(heads.where("x.f > 1").select("set_id", "label", "n", "p", "x.t", "x.f"), "prefixes")
+    main = heads.groupBy("t", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    heads = stage(heads.join(main.where("labels > 1").drop("labels"), "t").withColumn("shares", F.ceil(F.col("f") / SHARE)), "mixed-prefixes")
+    row = F.struct("set_id", "label", "n", "p")
+    others = heads.where("label <> main").select("t", row.alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    all_of = heads.select("t", row.alias("y"), F.pmod(F.xxhash64("set_id"), "shares").alias("share"))
+    total = OVER + UNDER
+    fits = F.expr(f"x.label <> y.label and least(x.n - x.p, y.n - y.p) >= ({OVER} * (x.n + y.n) + {total - 1}) div {total}")
+    return in_order(others.join(all_of, ["t", "share"]).where(fits))
+
+
+def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SHINGLE, small: int = SMALL, centres: Sequence[int] = CENTRES) -> DataFrame:
     """Links (u, v) between documents, by doc_id, that connect what is similar enough.
 
     ``also`` has further candidates (u, v), verified like the others.
@@ -154,7 +186,7 @@ def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SH
         more = also.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = pairs.union(more).distinct()
     pairs = stage(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).union(many.select("s.set_id")).distinct()
+    ids = ends(pairs).union(many.select("s.set_id")).distinct()
     wanted = stage(ids.join(classes.select("set_id", "class_id"), "set_id"), "wanted")
     # the sets of candidates only; the document that stands for a class may share its id with others
     whole = sets_of(maybe_in(docs, docs["doc_id"].cast("long"), wanted, wanted["class_id"]), size, True)
@@ -165,9 +197,10 @@ def similar_links(docs: DataFrame, also: DataFrame | None = None, size: int = SH
         return both.where(similar_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
     close = stage(verified(pairs), "close")
-    linked = close.select(F.col("a").alias("set_id")).union(close.select(F.col("b").alias("set_id")))
-    more = centre_links(many, linked, verified, centres)
-    close = close if more is None else close.union(more)
+    if not many.isEmpty():
+        close = centre_links(many, close, verified, centres)
+        crowd = sets.join(many.select("s.set_id").distinct(), "set_id")
+        close = close.union(stage(verified(stage(bridging_pairs(crowd, close), "bridging-pairs")), "bridges"))
     names = wanted.select("set_id", "class_id")
     close = close.join(names.withColumnsRenamed({"set_id": "a", "class_id": "u"}), "a").join(names.withColumnsRenamed({"set_id": "b", "class_id": "v"}), "b").select("u", "v")
     same = classes.where("copies > 1").select("set_id", "class_id")

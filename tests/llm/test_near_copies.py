@@ -56,7 +56,7 @@ def test_links_equal_brute_force(spark, small):
     assert similar_links(documents(spark, rows).limit(0)).count() == 0
 
 
-def test_large_families_are_found_without_all_pairs(spark):
+def test_large_families_equal_brute_force(spark):
     rng = random.Random(21)
     base, crowd = [f"f{rng.randrange(10**6)}" for _ in range(300)], [f"c{rng.randrange(10**6)}" for _ in range(300)]
     # members are near some others but near no common one
@@ -65,7 +65,17 @@ def test_large_families_are_found_without_all_pairs(spark):
     rows += [(1000 + k, " ".join(crowd[:260] + [f"own{rng.randrange(10**9)}" for _ in range(80)])) for k in range(150)]
     want = brute_removed(rows)
     got = {r.u for r in components(similar_links(documents(spark, rows))).collect()}
-    assert len(want) > 380 and got <= want and len(got) >= 0.99 * len(want)
+    assert len(want) > 380 and got == want
+
+
+def test_two_clusters_that_touch_in_one_pair(spark):
+    rng = random.Random(31)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+    far = [w if k % 100 < 80 else f"far{k}" for k, w in enumerate(base)]
+    between = lambda n: " ".join(f if k >= n else b for k, (b, f) in enumerate(zip(base, far)))
+    rows = [(k, with_changes(base, 1, rng)) for k in range(60)] + [(100 + k, with_changes(far, 1, rng)) for k in range(60)] + [(500, between(200)), (501, between(100))]
+    got = {(r.u, r.v) for r in components(similar_links(documents(spark, rows), small=8, centres=(1, 2))).collect()}
+    assert {u for u, _ in got} == brute_removed(rows)
 
 
 def test_pipeline_stage_removes_what_is_similar_and_nothing_else(spark, tmp_path):

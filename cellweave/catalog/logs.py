@@ -26,6 +26,20 @@ def _(ws):
     return ws["step_log"].select("episode_id", "step_index", "action", "cell_id", "barcode", "applied", *rs("reward", "value_est"), "done")
 
 
+@query("s10_action_traces", f"""
+select episode_id, cast(row_number() over (partition by episode_id order by step_index) - 1 as int) as step_offset, action, case when action <> 'stop' then barcode end as barcode, applied, {R('reward')} as reward from step_log""")
+def _(ws):
+    from ..sources.step_log import read_action_traces, write_traces
+    from .growth import scratch
+    path = scratch(ws, "traces")
+    # a step that stops names no bin
+    steps = ws["step_log"].select("episode_id", "step_index", "action", F.when(F.col("action") != "stop", F.col("barcode")).alias("barcode"), "applied", "reward")
+    write_traces(steps, "episode_id", "step_index", path)
+    field = lambda name, kind: F.try_variant_get("step", f"$.{name}", kind).alias(name)
+    read = read_action_traces(ws.spark, path).select("episode_id", "step_offset", field("action", "string"), field("barcode", "string"), field("applied", "boolean"), field("reward", "double"))
+    return read.select("episode_id", "step_offset", "action", "barcode", "applied", *rs("reward"))
+
+
 # rewards have four decimals, so short sums can lie exactly on a rounding boundary; the offset moves them off it
 OFF = 3.1415926e-8
 

@@ -29,3 +29,22 @@ def read_traces(spark: SparkSession, path: str, step: str) -> DataFrame:
     """Action traces: JSON documents with an array of steps, one row per step (gz is transparent)."""
     docs = spark.read.schema(f"episode_id string, steps array<{step}>").json(path)
     return docs.select("episode_id", F.posexplode("steps").alias("step_offset", "s")).select("episode_id", "step_offset", "s.*")
+
+
+def write_traces(steps: DataFrame, key: str, order: str, path: str) -> None:
+    """One gzip JSON document for each ``key``: its steps in order, each with the fields its action has."""
+    fields = F.struct(*[c for c in steps.columns if c != key])
+    listed = steps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), fields.alias("step")))).alias("rows"))
+    listed.select(key, F.transform("rows", lambda x: x["step"]).alias("steps")).write.option("compression", "gzip").json(path)
+
+
+def read_action_traces(spark: SparkSession, path: str, key: str = "episode_id bigint") -> DataFrame:
+    """Action traces, one row per step: the key, step_offset and the step as VARIANT, since steps differ by action.
+
+    Reads plain and compressed documents. A document without a list of steps is an error; an empty list has no rows.
+    """
+    name = key.split()[0]
+    docs = spark.read.schema(f"{key}, steps variant").json(path)
+    is_list = F.coalesce(F.schema_of_variant("steps").startswith("ARRAY<"), F.lit(False))
+    steps = F.when(is_list, F.col("steps").cast("array<variant>")).otherwise(F.raise_error(F.concat(F.lit("action trace without a list of steps: "), F.coalesce(F.col(name).cast("string"), F.lit("no key")))).cast("array<variant>"))
+    return docs.select(name, F.posexplode(steps).alias("step_offset", "step"))

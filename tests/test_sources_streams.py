@@ -59,6 +59,22 @@ def test_step_log_source(spark, folder):
     assert [(r.step_offset, r.action) for r in got] == [(0, "add"), (1, "stop")]
 
 
+def test_action_traces_differ_by_step_and_need_a_list(spark, folder):
+    steps = spark.createDataFrame([(1, 2, "stop", None), (1, 1, "add", "b1"), (2, 1, "stop", None)], "episode_id long, step_index int, action string, barcode string")
+    step_log.write_traces(steps, "episode_id", "step_index", folder + "/traces")
+    read = step_log.read_action_traces(spark, folder + "/traces")
+    got = {(r.episode_id, r.step_offset, r.j) for r in read.selectExpr("episode_id", "step_offset", "to_json(step) as j").collect()}
+    assert got == {(1, 0, '{"action":"add","barcode":"b1","step_index":1}'), (1, 1, '{"action":"stop","step_index":2}'), (2, 0, '{"action":"stop","step_index":1}')}
+    for k, line in enumerate(['{"episode_id": 3}', '{"episode_id": 3, "steps": {"action": "add"}}', '{"episode_id": 3, "steps": []}']):
+        spark.createDataFrame([(line,)], "value string").write.text(f"{folder}/bad{k}")
+        bad = step_log.read_action_traces(spark, f"{folder}/bad{k}")
+        if k == 2:
+            assert bad.count() == 0
+        else:
+            with pytest.raises(Exception, match="without a list of steps"):
+                bad.collect()
+
+
 def test_stream_equals_batch(spark, folder):
     px = spark.range(500).selectExpr("cast(id % 23 as int) as x", "cast(id % 17 as int) as y", "id % 4 as cell_id", "cast(id % 2 as int) as is_nuclear")
     px.repartition(5).write.mode("overwrite").parquet(folder + "/px")

@@ -40,12 +40,13 @@ def _(ws):
     return read.select("episode_id", "step_offset", "action", "barcode", "applied", *rs("reward"))
 
 
-# rewards have four decimals, so short sums can lie exactly on a rounding boundary; the offset moves them off it
-OFF = 3.1415926e-8
+# rewards have four decimals, so short sums lie on decimal rounding boundaries; values are compared as 32-bit floats, whose boundaries they miss
+def single(*names: str):
+    return [(F.col(n).cast("float").cast("double") + F.lit(0.0)).alias(n) for n in names]
 
 
-def off(*names: str):
-    return [r(F.col(n) + OFF).alias(n) for n in names]
+def SINGLE(expr: str) -> str:
+    return f"(cast(cast({expr} as real) as double) + 0.0e0)"
 
 
 _BACK = """
@@ -55,17 +56,17 @@ select episode_id, step_index, {out} from b {join}"""
 cte("lg", "select episode_id, step_index, reward, value_est, done, count(*) over (partition by episode_id) as n, lead(value_est) over (partition by episode_id order by step_index) as nv from step_log")
 
 
-@query("w7_discounted_return", _BACK.format(first="s.reward", nxt="s.reward + 0.99e0*b.g", out=R(f"g + {OFF}") + " as discounted_return", join=""))
+@query("w7_discounted_return", _BACK.format(first="s.reward", nxt="s.reward + 0.99e0*b.g", out=SINGLE("g") + " as discounted_return", join=""))
 def _(ws):
-    return lg.discounted_returns(ws["step_log"], 0.99).select("episode_id", "step_index", *off("discounted_return"))
+    return lg.discounted_returns(ws["step_log"], 0.99).select("episode_id", "step_index", *single("discounted_return"))
 
 
 _DELTA = "s.reward + 0.99e0*coalesce(s.nv, 0.0e0)*(case when s.done then 0.0e0 else 1.0e0 end) - s.value_est"
 
 
-@query("w8_advantages", _BACK.format(first=_DELTA, nxt=f"{_DELTA} + 0.99e0*0.95e0*(case when s.done then 0.0e0 else 1.0e0 end)*b.g", out=f"{R(f'g + {OFF}')} as advantage, {R(f'g + value_est + {OFF}')} as return_est", join="join lg using (episode_id, step_index)"))
+@query("w8_advantages", _BACK.format(first=_DELTA, nxt=f"{_DELTA} + 0.99e0*0.95e0*(case when s.done then 0.0e0 else 1.0e0 end)*b.g", out=f"{SINGLE('g')} as advantage, {SINGLE('g + value_est')} as return_est", join="join lg using (episode_id, step_index)"))
 def _(ws):
-    return lg.advantages(ws["step_log"], 0.99, 0.95).select("episode_id", "step_index", *off("advantage", "return_est"))
+    return lg.advantages(ws["step_log"], 0.99, 0.95).select("episode_id", "step_index", *single("advantage", "return_est"))
 
 
 cte("ep", "select episode_id, sum(reward) as total_reward, row_number() over (order by episode_id) - 1 as idx from step_log group by 1")
@@ -154,7 +155,7 @@ with q as (select episode_id, step_index, action, action = 'add' as m, count(*)
 s as (select *, case when m then count(*) filter (m) over (partition by episode_id, island order by step_index) else 0 end as streak from q)
 select action, count(*) as n, {R('avg(streak)')} as mean_streak, max(streak) as max_streak from s group by 1""")
 def _(ws):
-    s = lg.streaks(ws["step_log"], F.col("action") == "add")
+    s = lg.streaks(ws["step_log"], F.col("action") == "add", carry=["action"])
     return s.groupBy("action").agg(F.count("*").alias("n"), r(F.avg("streak")).alias("mean_streak"), F.max("streak").alias("max_streak"))
 
 

@@ -52,13 +52,18 @@ def running(
     sums: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
     rank: str | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums / maxima and a 1-based row number per group."""
+    """Inclusive running sums / maxima and a 1-based row number per group.
+
+    The result has the columns of ``df``, or only keys, order and ``keep`` where that is given.
+    """
+    named = df.columns if keep is None else list(dict.fromkeys([*keys, *[o for o in order if isinstance(o, str)], *keep]))
     values = {**(sums or {}), **(maxes or {})}
     kinds = {**{k: "sum" for k in (sums or {})}, **{k: "max" for k in (maxes or {})}}
     if rank:
         values[rank], kinds[rank] = F.lit(1).cast("long"), "sum"
-    staged = df.select("*", *[c.alias(f"_v_{o}") for o, c in values.items()])
+    staged = df.select(*named, *[c.alias(f"_v_{o}") for o, c in values.items()])
     blocked = ordered_blocks(staged, keys, order)
     sort_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     inside = Window.partitionBy(BLOCK, *keys).orderBy(*sort_cols).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,7 +78,7 @@ def running(
             final.append((F.col(f"_l_{o}") + F.coalesce(F.col(f"_c_{o}"), F.lit(0))).alias(o))
         else:
             final.append(F.greatest(f"_l_{o}", f"_c_{o}").alias(o))
-    return out.select(*df.columns, *final)
+    return out.select(*named, *final)
 
 
 def ordinal(df: DataFrame, order: Sequence[str | Column], out: str = "ordinal", start: int = 0,

@@ -1,8 +1,9 @@
 """Action logs: returns, advantages, running statistics and replays.
 
 An episode can be any length, so nothing here sorts a whole episode in one task: running
-values use ordered range blocks, recurrences use fixed blocks of the dense step number,
-and "last action before" questions are max-by aggregates.
+values use ordered range blocks, recurrences compose affine maps chunk by chunk, and "last
+action before" questions are max-by aggregates. What is written holds keys, order and the
+values asked for, not the whole log.
 """
 
 from __future__ import annotations
@@ -11,65 +12,19 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.ordered import BLOCK, join_groups, previous_value, running, with_halo
+from ..functions.ordered import BLOCK, previous_value, running, with_halo
+from ..functions.recurrence import CHUNK, backward_scan
 from ..functions.stats import zscore_shifted
 from ..session import write_stage
 
 STEP_BLOCK = 256
 
 
-def _fold_right(items: Column, start: Column) -> Column:
-    """h <- A + M * h from the last item to the first."""
-    return F.aggregate(F.reverse(items), start, lambda h, x: x["A"] + x["M"] * h)
-
-
-def _values_after(blocks: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
-    """For rows (keys, pos, A, M) of h_pos = A + M * h_(pos+1): add ``after`` = h_(pos+1).
-
-    At most ``size`` positions are gathered per array; longer sequences are folded into
-    groups first and solved on the shorter sequence.
-    """
-    last = blocks.agg(F.max("pos")).first()[0]
-    grouped = blocks.withColumn("g", F.floor(F.col("pos") / size).cast("long")).groupBy(*keys, "g").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "A", "M"))).alias("items"))
-    if last is None or last < size:
-        started = grouped.withColumn("start", F.lit(0.0))
-    else:
-        shorter = grouped.select(*keys, F.col("g").alias("pos"), _fold_right(F.col("items"), F.lit(0.0)).alias("A"),
-                                 F.aggregate("items", F.lit(1.0), lambda m, x: m * x["M"]).alias("M"))
-        solved = _values_after(write_stage(shorter, "fold"), keys, size).select(*keys, F.col("pos").alias("g"), F.col("after").alias("start"))
-        started = join_groups(grouped, solved, [*keys, "g"])
-    n = F.size("items")
-    after = F.transform("items", lambda x, i: F.struct(x["pos"].alias("pos"), _fold_right(
-        F.slice("items", i + 2, F.greatest(n - i - 1, F.lit(0))), F.col("start")).alias("after")))
-    return started.select(*keys, F.explode(after).alias("_x")).select(*keys, "_x.pos", "_x.after")
-
-
-def backward_sum(log: DataFrame, keys: Sequence[str], index: str, value: str, factor: float, stop: str | None, out: str, block: int = STEP_BLOCK) -> DataFrame:
-    """G_t = value_t + factor * G_(t+1), restarting after rows where ``stop`` is true.
-
-    ``index`` is dense from 1. Inside a block of steps the sum is a window over the block;
-    the value carried into a block comes from a fold over block totals.
-    """
-    done = F.col(stop) if stop else F.lit(False)
-    rows = log.select("*", F.floor((F.col(index) - 1) / block).cast("long").alias("_b"), done.alias("_d"))
-    part = [*keys, "_b"]
-    before = Window.partitionBy(*part).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_seg", F.coalesce(F.sum(F.col("_d").cast("int")).over(before), F.lit(0)))
-    back = Window.partitionBy(*part, "_seg").orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.col(index) - 1 - F.col("_b") * block
-    power = F.pow(F.lit(float(factor)), offset)
-    local = rows.withColumns({"_pw": power, "_w": F.col(value) * power}).withColumn("_local", F.sum("_w").over(back) / F.col("_pw"))
-    local = write_stage(local.drop("_w", "_pw"), "local")
-    ends = local.groupBy(*part).agg(
-        F.max(index).alias("_end"), F.max("_seg").alias("_last_seg"), F.bool_or("_d").alias("_any"), F.max_by("_d", index).alias("_closed"),
-        F.min_by("_local", index).alias("A"), F.count("*").alias("_n"))
-    chain = ends.select(*keys, F.col("_b").alias("pos"), "A", F.when(F.col("_any"), F.lit(0.0)).otherwise(F.pow(F.lit(float(factor)), F.col("_n"))).alias("M"))
-    after = _values_after(write_stage(chain, "chain"), keys, block).withColumnRenamed("pos", "_b")
-    joined = join_groups(join_groups(local, ends.select(*part, "_end", "_last_seg", "_closed"), part), after, part)
-    carried = F.when((F.col("_seg") == F.col("_last_seg")) & ~F.col("_closed"),
-                     F.pow(F.lit(float(factor)), F.col("_end") - F.col(index) + 1) * F.col("after")).otherwise(F.lit(0.0))
-    return joined.select(*log.columns, (F.col("_local") + carried).alias(out))
+def backward_sum(log: DataFrame, keys: Sequence[str], index: str, value: str, factor: float, stop: str | None, out: str, block: int = CHUNK) -> DataFrame:
+    """(keys, index, ``out``): G_t = value_t + factor * G_(t+1), restarting after rows where ``stop`` is true."""
+    kept = F.lit(float(factor))
+    mul = F.when(F.col(stop), F.lit(0.0)).otherwise(kept) if stop else kept
+    return backward_scan(log, keys, index, F.col(value), mul, out, "_after", chunk=block).drop("_after")
 
 
 RewardFunction = Callable[[DataFrame], Column]
@@ -88,27 +43,17 @@ def discounted_returns(log: DataFrame, gamma: float, keys: Sequence[str] = ("epi
     return backward_sum(log, keys, "step_index", "reward", gamma, None, "discounted_return")
 
 
-def with_next(log: DataFrame, keys: Sequence[str], index: str, value: str, out: str, block: int = STEP_BLOCK) -> DataFrame:
-    """``value`` of the following step, null after the last one.
+def advantages(log: DataFrame, gamma: float, lam: float, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
+    """(keys, step_index, reward, value_est, ``advantage``, ``return_est``), generalised advantages and returns.
 
-    Inside a block of steps it is a lead; the last step of a block takes it from the first
-    row of the next block, one row for each block.
+    With X_t = (1 - lam) * value_t + lam * return_t, the return is reward_t + gamma * X_(t+1) and X
+    itself follows an affine recurrence, so that the next step's value needs no look-up of its own.
     """
-    number = lambda shift: (F.floor((F.col(index) - 1) / block) + shift).cast("long").alias("_b")
-    heads = log.filter(F.pmod(F.col(index) - 1, F.lit(block)) == 0).select(*keys, number(-1), F.col(value).alias("_head"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(index)
-    led = log.select("*", number(0)).withColumn("_lead", F.when(F.lead(index).over(inside) == F.col(index) + 1, F.lead(value).over(inside)))
-    nxt = F.when(F.pmod(F.col(index), F.lit(block)) == 0, F.col("_head")).otherwise(F.col("_lead"))
-    return join_groups(led, heads, [*keys, "_b"], "left").select(*log.columns, nxt.alias(out))
-
-
-def advantages(log: DataFrame, gamma: float, lam: float, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Generalised advantages and returns."""
-    live = F.when(F.col("done"), F.lit(0.0)).otherwise(F.lit(1.0))
-    delta = F.col("reward") + F.lit(gamma) * F.coalesce("_nv", F.lit(0.0)) * live - F.col("value_est")
-    rows = with_next(log, keys, "step_index", "value_est", "_nv").withColumn("_delta", delta).drop("_nv")
-    out = backward_sum(rows, keys, "step_index", "_delta", gamma * lam, "done", "advantage")
-    return out.withColumn("return_est", F.col("advantage") + F.col("value_est")).drop("_delta")
+    live = F.when(F.col("done"), F.lit(0.0)).otherwise(F.lit(float(gamma)))
+    mixed = (1.0 - lam) * F.col("value_est") + lam * F.col("reward")
+    out = backward_scan(log, keys, "step_index", mixed, lam * live, "_mixed", "_after", carry=["reward", "value_est", "done"])
+    out = out.withColumn("return_est", F.col("reward") + F.when(F.col("done"), F.lit(0.0)).otherwise(gamma * F.col("_after")))
+    return out.select(*keys, "step_index", "reward", "value_est", (F.col("return_est") - F.col("value_est")).alias("advantage"), "return_est")
 
 
 def group_relative(scores: DataFrame, index: str, value: str, group_size: int, eps: float) -> DataFrame:
@@ -121,8 +66,8 @@ def group_relative(scores: DataFrame, index: str, value: str, group_size: int, e
 
 
 def cumulative(log: DataFrame, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Running reward and applied / rejected counts by step."""
-    return running(log, keys, ["step_index"], sums={
+    """(keys, step_index) with running reward and applied / rejected counts."""
+    return running(log, keys, ["step_index"], keep=(), sums={
         "cumulative_reward": F.col("reward"), "n_applied": F.col("applied").cast("long"), "n_rejected": (~F.col("applied")).cast("long")})
 
 
@@ -159,7 +104,8 @@ def improvements(log: DataFrame, value: str, min_gain: float, keys: Sequence[str
 def early_stopping(log: DataFrame, n: int, min_gain: float, patience: int, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
     """Per step: moving average, best so far, steps without improvement, and the first stopping step."""
     keys = list(keys)
-    ma = write_stage(moving_average(log, "reward", n, "moving_average", keys), "moving")
+    narrow = log.select(*keys, "step_index", "reward")
+    ma = write_stage(moving_average(narrow, "reward", n, "moving_average", keys).drop("reward"), "moving")
     hits = improvements(ma, "moving_average", min_gain, keys).withColumn("improved", F.lit(True))
     marked = ma.select(*keys, "step_index", "moving_average").join(hits, [*keys, "step_index"], "left")
     hit = F.col("improved").isNotNull()
@@ -171,10 +117,12 @@ def early_stopping(log: DataFrame, n: int, min_gain: float, patience: int, keys:
     return out.join(stop, keys, "left")
 
 
-def streaks(log: DataFrame, match: Column, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Length of the current run of matching rows: distance to the last row that did not match."""
-    run = running(log, keys, ["step_index"], maxes={"_gap": F.when(~match, F.col("step_index"))})
-    return run.withColumn("streak", F.when(match, F.col("step_index") - F.coalesce("_gap", F.lit(0))).otherwise(F.lit(0))).drop("_gap")
+def streaks(log: DataFrame, match: Column, keys: Sequence[str] = ("episode_id",), carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, step_index, ``carry``, ``streak``): length of the current run of matching rows, up to the last row that did not match."""
+    named = [*keys, "step_index", *carry]
+    run = running(log.select(*named, match.alias("_match")), keys, ["step_index"], maxes={"_gap": F.when(~F.col("_match"), F.col("step_index"))})
+    length = F.when(F.col("_match"), F.col("step_index") - F.coalesce("_gap", F.lit(0))).otherwise(F.lit(0))
+    return run.select(*named, length.alias("streak"))
 
 
 def owners_at_step(initial: DataFrame, log: DataFrame, k: int, keys: Sequence[str] = ("episode_id",)) -> DataFrame:

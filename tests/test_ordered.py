@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions.ordered import exact_quantiles, ordinal, previous_value, running
+from cellweave.functions import recurrence
+from cellweave.functions.recurrence import backward_scan
 from cellweave.operators import logs as lg
+from cellweave.session import write_stage
 
 
 def make_log(spark, n_by_episode, seed=3):
@@ -70,6 +73,59 @@ def test_advantages_with_lambda_one_are_returns_minus_values(spark):
         assert r.return_est == pytest.approx(ret[r.step_index]) and r.advantage == pytest.approx(ret[r.step_index] - r.value_est)
 
 
+def test_advantages_match_a_loop(spark):
+    rows, df = make_log(spark, {1: 700, 2: 3, 3: 256})
+    for gamma, lam in ((0.99, 0.95), (0.9, 0.0), (0.0, 0.5)):
+        out = {(r.episode_id, r.step_index): r for r in lg.advantages(df, gamma, lam).collect()}
+        assert len(out) == len(rows)
+        for e in (1, 2, 3):
+            adv = nxt = 0.0
+            for r in reversed([r for r in rows if r[0] == e]):
+                live = 0.0 if r[8] else 1.0
+                adv = r[6] + gamma * nxt * live - r[7] + gamma * lam * live * adv
+                nxt = r[7]
+                got = out[(e, r[1])]
+                assert got.advantage == pytest.approx(adv, abs=1e-9) and got.return_est == pytest.approx(adv + r[7], abs=1e-9)
+
+
+def test_backward_scan_of_any_maps(spark):
+    rng = random.Random(5)
+    rows = [(k, i, rng.choice([None, rng.uniform(-2, 2)]), rng.choice([None, 0.0, 1.0, -0.5, 1.0e-300, 1.5]))
+            for k in (None, "a", "b") for i in range(300) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "k string, i long, a double, m double").repartition(5)
+    for chunk in (2, 16, 512):
+        out = {(r.k, r.i): (r.h, r.n) for r in backward_scan(df, ["k"], "i", F.col("a"), F.col("m"), "h", "n", chunk=chunk).collect()}
+        assert len(out) == len(rows)
+        for k in (None, "a", "b"):
+            h = 0.0
+            for _, i, a, m in reversed([r for r in rows if r[0] == k]):
+                n, h = h, (a or 0.0) + (m or 0.0) * h
+                assert out[(k, i)] == (pytest.approx(h, rel=1e-9, abs=1e-9), pytest.approx(n, rel=1e-9, abs=1e-9))
+    assert backward_scan(df.filter("false"), ["k"], "i", F.col("a"), F.col("m"), "h", "n").count() == 0
+    with pytest.raises(ValueError):
+        backward_scan(df.withColumn("i", F.col("i") - 9), ["k"], "i", F.col("a"), F.col("m"), "h", "n")
+
+
+def test_scan_forgets_infinities(spark):
+    df = spark.createDataFrame([(1, 1.0, 0.0), (2, float("inf"), 1.0), (3, 2.0, 1.0)], "i long, a double, m double")
+    assert {r.i: r.h for r in backward_scan(df, [], "i", F.col("a"), F.col("m"), "h", "n").collect()} == {1: 1.0, 2: float("inf"), 3: 2.0}
+
+
+def test_one_long_episode_fills_all_tasks_evenly(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(recurrence, "write_stage", lambda df, label: written.append(write_stage(df, label)) or written[-1])
+    df = spark.range(1, 200_001).select(F.lit(1).alias("e"), F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    out = lg.backward_sum(df, ["e"], "i", "v", 0.5, None, "g")
+    sizes = sorted(r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] <= 2 * sizes[4]
+    assert set(written[0].columns) == {"e", "i", "_chunk", "_add", "_mul", "_next_add", "_next_mul", "_head"}
+    got = {r.i: r.g for r in out.filter("i > 199990 or i < 10 or abs(i - 65536) < 3").collect()}
+    h = 0.0
+    for i in range(200_000, 0, -1):
+        h = i % 7 + 0.5 * h
+        assert i not in got or got[i] == pytest.approx(h, abs=1e-12)
+
+
 def test_group_relative(spark):
     df = spark.createDataFrame(list(enumerate((1.0, 3.0, 2.0, 6.0))), "i long, s double")
     out = [r.advantage for r in lg.group_relative(df, "i", "s", 2, 1.0e-6).orderBy("i").collect()]

@@ -103,13 +103,28 @@ def _(ws):
     return lg.early_stopping(ws["step_log"], 5, 0.001, 20).select("episode_id", "step_index", *rs("best_moving_average"), "improved", "no_improve_count", "stop_step")
 
 
-@query("w13_owner_at_step", """
+_OWNER_AT_STEP = """
 select episode_id, barcode, cell_id from (select *, row_number() over (partition by episode_id, barcode order by step_index desc) as rn from (
- select episode_id, barcode, cell_id, step_index from step_log where step_index <= 40 and applied
- union all select distinct episode_id, barcode, cast(99 as bigint), cast(0 as bigint) from step_log where step_index % 3 = 0) q) q2 where rn = 1""")
+ select episode_id, barcode, cell_id, step_index from step_log where step_index <= {k} and applied
+ union all select distinct episode_id, barcode, cast(99 as bigint), cast(0 as bigint) from step_log where step_index % 3 = 0) q) q2 where rn = 1"""
+
+
+def initial_owners(ws):
+    return ws["step_log"].filter("step_index % 3 = 0").select("episode_id", "barcode").distinct().withColumn("cell_id", F.lit(99).cast("bigint"))
+
+
+@query("w13_owner_at_step", _OWNER_AT_STEP.format(k=40))
 def _(ws):
-    initial = ws["step_log"].filter("step_index % 3 = 0").select("episode_id", "barcode").distinct().withColumn("cell_id", F.lit(99).cast("bigint"))
-    return lg.owners_at_step(initial, ws["step_log"], 40)
+    return lg.owners_at_step(initial_owners(ws), ws["step_log"], 40)
+
+
+@query("s11_trajectory_at_step", _OWNER_AT_STEP.format(k=40))
+def _(ws):
+    from ..sources.timeline import owners_after, read_timeline, timeline, write_timeline
+    from .growth import scratch
+    path = scratch(ws, "timeline")
+    write_timeline(timeline(initial_owners(ws), ws["step_log"], 16), path)
+    return owners_after(read_timeline(ws.spark, path), 40)
 
 
 @query("w13_owner_bin_counts", """

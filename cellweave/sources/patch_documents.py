@@ -1,12 +1,17 @@
-"""Nested document per patch (bounds, metrics, cells, bins) and the manifest over them."""
+"""Nested document per patch (bounds, metrics, cells, bins, trajectory) and the manifest over them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .timeline import nested, read_nested
 
-def documents(patches: DataFrame, members: DataFrame, bins: DataFrame, cells: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One nested row per patch. A patch box and its cell cap bound both arrays."""
+
+def documents(patches: DataFrame, members: DataFrame, bins: DataFrame, cells: DataFrame, metrics: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """One nested row per patch. A patch box and its cell cap bound both arrays.
+
+    ``segments`` (a ``timeline`` by patch_id) become the field ``trajectory``; patches without steps have none.
+    """
     bin_cols = [c for c in bins.columns if c != "patch_id"]
     cell_cols = [c for c in cells.columns if c != "patch_id"]
     nested_bins = bins.groupBy("patch_id").agg(F.sort_array(F.collect_list(F.struct(*bin_cols))).alias("bins"))
@@ -17,7 +22,8 @@ def documents(patches: DataFrame, members: DataFrame, bins: DataFrame, cells: Da
     packed = metrics.select("patch_id", F.struct(*[c for c in metrics.columns if c != "patch_id"]).alias("metrics"))
     bounds = patches.select("patch_id", F.struct("outer_x_min", "outer_x_max", "outer_y_min", "outer_y_max").alias("outer_bounds"),
                             F.struct("core_x_min", "core_x_max", "core_y_min", "core_y_max").alias("core_bounds"))
-    return bounds.join(packed, "patch_id").join(ids, "patch_id").join(nested_cells, "patch_id", "left").join(nested_bins, "patch_id", "left")
+    docs = bounds.join(packed, "patch_id").join(ids, "patch_id").join(nested_cells, "patch_id", "left").join(nested_bins, "patch_id", "left")
+    return docs if segments is None else docs.join(nested(segments), "patch_id", "left")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -40,3 +46,8 @@ def write_documents(docs: DataFrame, path: str, folder_per_patch: bool = False)
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(f"{path}/patches")
+
+
+def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
+    """Timelines of the documents, one row per patch and segment."""
+    return read_nested(spark, f"{path}/patches")

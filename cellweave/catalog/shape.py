@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions.ordered import ordinal
-from ..operators import scoring as sc, shape as sh
+from ..operators import clusters, scoring as sc, shape as sh
 from ..workspace import step
 from . import steps
 from .registry import R, RS, big, bigs, cte, query, r, rs
@@ -192,7 +192,7 @@ def _(ws):
 @query("a35_kmeans_clusters")
 def _(ws):
     m = sh.feature_matrix(ws["shape_table"], ["cell_id"])
-    return sh.kmeans_clusters(m, 6, n_init=3).groupBy("shape_cluster").agg(F.count("*").alias("n_cells"))
+    return sh.kmeans_clusters(m, 6).groupBy("shape_cluster").agg(F.count("*").alias("n_cells"))
 
 
 # labels moved to corners far apart, so that the right partition and number are known
@@ -217,6 +217,19 @@ def _(ws):
     return sh.choose_k(separated(ws), range(2, 15)).filter("rank = 1").select("n_clusters")
 
 
+# the silhouette by its definition, from all pairs, next to the one from moments
+@query("a36_silhouette_of_types", f"""
+with f as (select cell_id, cell_type, feature_log_area f0, feature_compactness f1, feature_solidity f2, feature_anisotropy f3 from shape_table),
+n as (select cell_type, count(*) as n from f group by 1),
+d as (select a.cell_id, a.cell_type, b.cell_type as other, sum((a.f0-b.f0)*(a.f0-b.f0) + (a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2) + (a.f3-b.f3)*(a.f3-b.f3)) as s from f a, f b group by 1, 2, 3),
+s as (select d.cell_id, d.cell_type, max(case when other = d.cell_type then s/greatest(n.n - 1, 1) end) as a, min(case when other <> d.cell_type then s/n.n end) as b, max(case when other = d.cell_type then n.n end) as n from d join n on n.cell_type = d.other group by 1, 2)
+select cell_type, count(*) as n_cells, {R('avg(case when n > 1 and b is not null and greatest(a, b) > 0 then (b - a)/greatest(a, b) else 0.0e0 end)')} as silhouette_score from s group by 1""")
+def _(ws):
+    z = F.array(*[f"feature_{n}" for n in sh.FEATURES])
+    scores = clusters.silhouettes(ws["shape_table"].select(F.lit(0).alias("model"), F.col("cell_type").alias("label"), z.alias("z")), len(sh.FEATURES))
+    return scores.select(F.col("label").alias("cell_type"), F.col("n_rows").alias("n_cells"), *rs("silhouette_score"))
+
+
 @query("a36_choose_cluster_number")
 def _(ws):
     return sh.choose_k(sh.feature_matrix(ws["shape_table"], ["cell_id"]), range(2, 9))

@@ -9,7 +9,7 @@ from tools.check import canon
 
 SF = "/root/testdata/sf0.001"
 NAMES = ("j3_bin_metadata", "a4_nuclei", "j5_candidate_radius_join", "j6_nearest_other_nucleus", "a8_bin_log_likelihood", "g9_add_score",
-         "g19_objective_deltas", "a22_overlap_metrics", "a16_hull_and_solidity", "j16_tile_membership", "w8_advantages", "w13_owner_at_step",
+         "g19_objective_deltas", "a22_overlap_metrics", "a16_hull_and_solidity", "j16_tile_membership", "w7_discounted_return", "w8_advantages", "w13_owner_at_step", "s11_trajectory_at_step", "a36_silhouette_of_types",
          "j20_patch_bins", "g20_fill_target")
 
 

@@ -71,6 +71,11 @@ def run_cold(spark, name):
         wsm.forget_workspaces()
 
 
+def test_evidence_scores_logged_cells_only(spark):
+    written, _ = run_cold(spark, "g21_evidence_with_shape")
+    assert "scored" not in written and "step_log" in written
+
+
 def test_shaped_scores_read_the_written_frontier(spark):
     """Terms come from the written scores; their candidates are joined by cell alone."""
     written, plan = run_cold(spark, "g9_add_score_with_shape")

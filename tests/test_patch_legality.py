@@ -1,10 +1,14 @@
-"""Legal bins of patches from lists per cell, against their definition."""
+"""Legal bins of patches from lists per cell, against their definition; joint rounds without further exchanges."""
+
+import re
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from cellweave.catalog import steps
-from cellweave.workspace import Workspace
+from cellweave.operators import growth as gr
+from cellweave.workspace import Workspace, forget_workspaces
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +43,24 @@ def test_legality_equals_its_definition(made):
     sizes = {p: sum(m[0] == p for m in members) for p, _, _ in members}
     ranks = {(p, c): sorted(m[1] for m in members if m[0] == p).index(c) for p, c, _ in members}
     assert all(r.n_cells == sizes[r.patch_id] and r.cell_rank == ranks[r.patch_id, r.cell_id] for r in rows)
+
+
+def test_joint_rounds_take_carried_sizes(spark):
+    props = spark.createDataFrame([("p", 10, "b", 0.5, 0, 0, 2), ("p", 11, "b", 0.9, 0, 1, 2), ("p", 10, "c", -1.0, 1, 0, 2), ("p", 11, "c", 0.4, 1, 1, 2)],
+                                  "patch_id string, cell_id long, barcode string, delta double, round int, cell_rank long, n_cells long")
+    kept, rounds = gr.joint_rounds(props, eps=0.0)
+    assert {(r.round, r.cell_id) for r in kept.collect()} == {(0, 10), (1, 11)} and all(r.accepted for r in rounds.collect())
+
+
+def test_patch_rows_are_dealt_once_or_not_at_all(spark):
+    forget_workspaces()
+    try:
+        shown = {q: entry.queries()[q](spark, SF)._jdf.queryExecution() for q in ("g4_patch_legal", "g23_joint_rounds")}
+        plan = shown["g4_patch_legal"].sparkPlan().toString()
+        assert "REPARTITION_BY_COL" not in plan and not re.search(r"windowspecdefinition\(patch_id#\d+, barcode", plan)
+        plan = shown["g23_joint_rounds"].sparkPlan().toString()
+        assert plan.count("REPARTITION_BY_COL") == 1
+        # above the exchange of patch rows there is no join, hence no other one
+        assert "Join" not in plan[:plan.index("REPARTITION_BY_COL")]
+    finally:
+        forget_workspaces()
